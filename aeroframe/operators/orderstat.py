@@ -27,39 +27,36 @@ def order_statistics(
 
     ``levels`` are columns of ``base``, coarse to exact; ``ranks`` maps a name to a function from the
     group's row count to the rank. ``bounded`` says that groups times ranks is a fixed small number,
-    which makes the path tables safe to broadcast. One row per group and rank that exists.
+    which makes the path tables safe to broadcast. One row per group and rank that exists, with the
+    group's row count ``n``. Each level reads ``base`` once more, narrowed by the level before.
     """
     group, levels = list(group), list(levels)
     tally = F.sum(weight) if weight else F.count(F.lit(1))
-
-    counts = base.groupBy(*group, levels[0]).agg(tally.alias("_c"))
-    totals = counts.groupBy(*group).agg(F.sum("_c").alias("_n"))
-    wanted = F.array(*[
-        F.struct(F.lit(name).alias("rank_name"), rank(F.col("_n")).cast("long").alias("_r"))
-        for name, rank in ranks.items()
-    ])
-    path = totals.select(*group, F.explode(wanted).alias("_w")).select(*group, "_w.*")
-
-    known: list[str] = []
-    for depth, level in enumerate(levels):
-        keys = group + known
-        if depth:
-            narrowed = path.select(*keys).distinct()
-            inside = base.join(F.broadcast(narrowed) if bounded else narrowed, keys, "left_semi")
-            counts = inside.groupBy(*keys, level).agg(tally.alias("_c"))
-        running = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(level).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        spans = counts.withColumn("_end", F.sum("_c").over(running)).withColumn("_start", F.col("_end") - F.col("_c"))
-        hit = (F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end"))
-        if keys:
-            joined = spans.join(F.broadcast(path) if bounded else path, keys)
+    path, known = None, []
+    for level in levels:
+        if path is None:
+            keys, counted = group, base.groupBy(*group, level).agg(tally.alias("_c"))
+        else:
+            keys = [*group, *known, "rank_name", "_r", "n"]
+            on = [*group, *known]
+            inside = base.join(F.broadcast(path) if bounded else path, on)
+            counted = inside.groupBy(*keys, level).agg(tally.alias("_c"))
+        parts = keys or [F.lit(0)]
+        running = Window.partitionBy(*parts).orderBy(level).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        spans = counted.withColumn("_end", F.sum("_c").over(running)).withColumn("_start", F.col("_end") - F.col("_c"))
+        if path is None:
+            spans = spans.withColumn("n", F.sum("_c").over(Window.partitionBy(*parts)))
+            wanted = F.array(*[
+                F.struct(F.lit(name).alias("rank_name"), rank(F.col("n")).cast("long").alias("_r"))
+                for name, rank in ranks.items()])
+            here = F.filter(wanted, lambda w: (w["_r"] >= F.col("_start")) & (w["_r"] < F.col("_end")))
+            hits = spans.withColumn("_w", F.explode(here)).withColumns(
+                {"rank_name": F.col("_w.rank_name"), "_r": F.col("_w._r")})
         else:
-            joined = spans.withColumn("_one", F.lit(1)).join(
-                F.broadcast(path.withColumn("_one", F.lit(1))), "_one").drop("_one")
-        path = joined.where(hit).select(
-            *keys, level, "rank_name", (F.col("_r") - F.col("_start")).alias("_r"))
+            hits = spans.where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end")))
         known.append(level)
-    return path.select(*group, "rank_name", *levels)
+        path = hits.select(*group, *known, "rank_name", (F.col("_r") - F.col("_start")).alias("_r"), "n")
+    return path.select(*group, "rank_name", *levels, "n")
 
 
 def magnitude_bucket(x: Column) -> Column:
@@ -94,17 +91,15 @@ def exact_quantiles(
     found = order_statistics(long, [*by, "column_name"], ["_bucket", "value"], ranks, weight, bounded=not by)
 
     named = found.select(
-        *by, "column_name", "value",
+        *by, "column_name", "value", "n",
         F.split("rank_name", "[|]").getItem(0).cast("double").alias("probability"),
         F.split("rank_name", "[|]").getItem(1).alias("_side"),
     )
-    size = long.groupBy(*by, "column_name").agg((F.sum("_w") if weight else F.count(F.lit(1))).alias("_n"))
-    size = size if by else F.broadcast(size)
     ends = named.groupBy(*by, "column_name", "probability").agg(
         F.max(F.when(F.col("_side") == "lo", F.col("value"))).alias("_lo"),
-        F.max(F.when(F.col("_side") == "hi", F.col("value"))).alias("_hi"))
-    position = F.col("probability") * (F.col("_n") - 1)
-    return ends.join(size, [*by, "column_name"]).select(
+        F.max(F.when(F.col("_side") == "hi", F.col("value"))).alias("_hi"), F.max("n").alias("n"))
+    position = F.col("probability") * (F.col("n") - 1)
+    return ends.select(
         *by, "column_name", "probability",
         (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (position - F.floor(position))).alias("value"))
 

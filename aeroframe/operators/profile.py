@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aeroframe import values as V
+from aeroframe.operators.columns import numeric_columns
 from aeroframe.operators.fill import mean_zero_fill
 from aeroframe.operators.orderstat import exact_quantiles, wide_quantiles
 from aeroframe.operators.quality import null_percentages
@@ -70,36 +71,56 @@ def variances(df: DataFrame, columns: Sequence[str], threshold: float = 0.0) ->
         "dropped", F.coalesce(F.col("variance") <= threshold, F.lit(True)))
 
 
+def _pearson(cov: Column, dev_a: Column, dev_b: Column) -> Column:
+    """Null where a side does not vary."""
+    return F.try_divide(cov, dev_a * dev_b)
+
+
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pearson r of each pair from one aggregate; pairs with a null are skipped."""
-    one = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    """Pearson r of each pair from one aggregate; rows where a side is null do not count for the pair."""
+    aggs = []
+    for i, (a, b) in enumerate(pairs):
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+        aggs += [F.covar_pop(x, y).alias(f"c{i}"), F.stddev_pop(x).alias(f"x{i}"), F.stddev_pop(y).alias(f"y{i}")]
+    one = df.agg(*aggs)
     cells = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                               F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
-    return one.select(F.explode(cells).alias("_c")).select("_c.*").withColumn(
-        "r", F.when(~F.isnan("r"), F.col("r")))
+                               _pearson(F.col(f"c{i}"), F.col(f"x{i}"), F.col(f"y{i}")).alias("r"))
+                      for i, (a, b) in enumerate(pairs)])
+    return one.select(F.explode(cells).alias("_c")).select("_c.*")
+
+
+def _filled_moments(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """After mean fill: covariance of each pair and deviation of each column, in one aggregate."""
+    filled = mean_zero_fill(df.select(*columns), columns)
+    return filled.agg(*[F.covar_pop(a, b).alias(f"c|{a}|{b}") for a, b in pairs],
+                      *[F.stddev_pop(c).alias(f"s|{c}") for c in columns])
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Long Pearson matrix after mean fill; columns without variance are left out."""
-    filled = mean_zero_fill(df.select(*columns), columns)
-    pairs = [(a, b) for a in columns for b in columns]
     upper = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    one = filled.agg(*[F.corr(a, b).alias(f"r|{a}|{b}") for a, b in upper],
-                     *[F.var_samp(c).alias(f"v|{c}") for c in columns])
+    one = _filled_moments(df, columns, upper)
+    s = {c: F.col(f"`s|{c}`") for c in columns}
+    r = {(a, b): _pearson(F.col(f"`c|{a}|{b}`"), s[a], s[b]) for a, b in upper}
+    r.update({(b, a): x for (a, b), x in list(r.items())})
     cells = F.array(*[
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                 F.col(f"`r|{a}|{b}`" if (a, b) in set(upper) else f"`r|{b}|{a}`").alias("r"),
-                 ((F.col(f"`v|{a}`") > 0) & (F.col(f"`v|{b}`") > 0)).alias("_ok")) for a, b in pairs])
+        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), r[(a, b)].alias("r"),
+                 ((s[a] > 0) & (s[b] > 0)).alias("_ok")) for a in columns for b in columns])
     return one.select(F.explode(cells).alias("_c")).select("_c.*").where("_ok").drop("_ok")
 
 
 def target_correlations(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    if target not in df.columns or dict(df.dtypes)[target] in ("string", "boolean"):
+    """r of every feature that varies with the target, both mean-filled."""
+    if target not in df.columns or target not in numeric_columns(df):
         raise ValueError(f"target {target} must be a numeric column")
-    filled = mean_zero_fill(df.select(*columns, target), [*columns, target])
-    one = filled.agg(*[F.corr(c, target).alias(f"r|{c}") for c in columns],
-                     *[F.var_samp(c).alias(f"v|{c}") for c in columns])
-    return _long(one, columns, {"r": "double", "v": "double"}, "feature").where("v > 0").drop("v")
+    used = list(dict.fromkeys([*columns, target]))
+    one = _filled_moments(df, used, [(c, target) for c in columns])
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("feature"),
+                 _pearson(F.col(f"`c|{c}|{target}`"), F.col(f"`s|{c}`"), F.col(f"`s|{target}`")).alias("r"),
+                 F.col(f"`s|{c}`").alias("_s")) for c in columns])
+    return one.select(F.explode(cells).alias("_c")).select("_c.*").where("_s > 0").drop("_s")
 
 
 def rank_features(ranked: DataFrame, feature: str = "feature", r: str = "r",
