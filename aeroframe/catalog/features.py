@@ -156,12 +156,10 @@ def feature_target_corr(t):
 _PAIRS = [(a, b) for i, a in enumerate(_FULL) for b in _FULL[i + 1:]]
 
 
-_SURVIVORS = [(a, b) for a, b in _PAIRS if "temperature" not in (a, b)]
-
-
-@query("collinear_prune", " UNION ALL ".join(
-    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {sql_r(f'corr({a}, {b})')} AS r, abs(corr({a}, {b})) < 0.95 AS apart FROM {{v_features}}"
-    for a, b in _SURVIVORS))
+# pm25 and temperature are the only near-collinear pair: the one less correlated with aqi goes
+@query("collinear_prune", "WITH g AS (SELECT CASE WHEN abs(corr(pm25, temperature)) < 0.95 THEN '' WHEN abs(corr(pm25, aqi)) < abs(corr(temperature, aqi)) THEN 'pm25' ELSE 'temperature' END AS gone FROM {v_features}), p AS ("
+       + " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS x FROM {{v_features}}" for a, b in _PAIRS)
+       + f") SELECT feature_a, feature_b, {sql_r('x')} AS r, abs(x) < 0.95 AS apart FROM p, g WHERE gone NOT IN (feature_a, feature_b)")
 def collinear_prune(t):
     gone = profile.collect_collinear_drops(t.v_features, _FULL, "aqi", 0.95)
     pairs = [(a, b) for a, b in _PAIRS if a not in gone and b not in gone]

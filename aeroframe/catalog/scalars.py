@@ -50,9 +50,9 @@ def truncate_concentration(t):
     f"{index_sql(p, c)} AS {c}_index" for p, c in _WIDE.items()) + ", "
     + sql_r(index_sql("PM2.5", "pm25", False)) + " AS pm25_raw FROM {v_obs_wide}")
 def aqi_sub_index(t):
-    return t.v_obs_wide.select(
-        *_KEYS, *[ax.sub_index(p, F.col(c)).alias(f"{c}_index") for p, c in _WIDE.items()],
-        r(ax.sub_index("PM2.5", F.col("pm25"), rounded=False)).alias("pm25_raw"))
+    out = ax.with_sub_indices(t.v_obs_wide, _WIDE)
+    return out.select(*_KEYS, *[f"{c}_index" for c in _WIDE.values()],
+                      r(ax.sub_index("PM2.5", F.col("pm25"), rounded=False)).alias("pm25_raw"))
 
 
 @query("aqi_requirements", "SELECT " + _K + """,

@@ -28,7 +28,8 @@ def _valid(x: Column) -> Column:
 def truncate_concentration(pollutant: str, x: Column) -> Column:
     """Cut to whole numbers (CO and Pb: tenths); negative, NaN and null give null."""
     x = x.cast("double")
-    fixed = F.round(x, 6)
+    # rounding to six decimals before the cut: half a millionth is added, which stays in primitive code
+    fixed = x + 5e-7
     if pollutant in V.ONE_DECIMAL_POLLUTANTS:
         cut = F.floor(fixed * 10).cast("double") / 10
     else:
@@ -36,20 +37,32 @@ def truncate_concentration(pollutant: str, x: Column) -> Column:
     return F.when(_valid(x), cut)
 
 
-def sub_index(pollutant: str, x: Column, rounded: bool = True) -> Column:
-    """Piecewise-linear sub-index, capped at 500; rounded half to even.
-
-    Truncated values fall on the steps of the table, so the segments have no gaps and one
-    upper-bound test per segment is enough.
-    """
-    cut = truncate_concentration(pollutant, x)
+def _segments(pollutant: str, cut: Column, rounded: bool) -> Column:
+    """Truncated values fall on the steps of the table, so the segments have no gaps and one
+    upper-bound test per segment is enough."""
     chain = None
     for low, high, index_low, index_high in V.BREAKPOINTS[pollutant]:
         value = F.lit((index_high - index_low) / (high - low)) * (cut - low) + index_low
         chain = F.when(cut <= high, value) if chain is None else chain.when(cut <= high, value)
     # the last branch carries the null test: null <= high is unknown, never true
     chain = chain.when(cut.isNotNull(), F.lit(V.INDEX_CAP))
-    return F.bround(chain, 0).cast("int") if rounded else chain
+    return F.rint(chain).cast("int") if rounded else chain
+
+
+def sub_index(pollutant: str, x: Column, rounded: bool = True) -> Column:
+    """Piecewise-linear sub-index, capped at 500; rounded half to even."""
+    return _segments(pollutant, truncate_concentration(pollutant, x), rounded)
+
+
+def with_sub_indices(df: DataFrame, columns: dict[str, str], rounded: bool = True) -> DataFrame:
+    """Add ``<column>_index`` per pollutant.
+
+    Two projections: truncation is computed once per value and the segment tests refer to it, which
+    keeps the generated code small enough to be compiled.
+    """
+    cuts = df.withColumns({f"_cut_{c}": truncate_concentration(p, F.col(c)) for p, c in columns.items()})
+    indexed = cuts.withColumns({f"{c}_index": _segments(p, F.col(f"_cut_{c}"), rounded) for p, c in columns.items()})
+    return indexed.drop(*[f"_cut_{c}" for c in columns.values()])
 
 
 def requirements_met(concentrations: dict[str, Column]) -> Column:
@@ -90,12 +103,11 @@ def with_index(
     """Add ``<column>_index`` per pollutant, ``aqi`` and ``dominant`` (and ``tied`` as a list).
 
     ``columns`` maps pollutant to column; by default every known column that is present.
-    Two projections: the sub-indices are computed once and then compared.
     """
     columns = columns or {p: c for p, c in V.POLLUTANT_COLUMNS.items() if c in df.columns}
     named = sorted(columns)          # name order decides ties
     index_of = {p: f"{columns[p]}_index" for p in named}
-    out = df.withColumns({index_of[p]: sub_index(p, F.col(columns[p]), rounded) for p in named})
+    out = with_sub_indices(df, columns, rounded)
 
     parts = [F.col(index_of[p]) for p in named]
     top = F.greatest(*parts) if len(parts) > 1 else parts[0]

@@ -25,4 +25,4 @@ def in_world(lat: Column, lon: Column) -> Column:
 
 def tenth_degree(x: Column) -> Column:
     """Coordinate rounded to one decimal, half to even."""
-    return F.bround(x, 1)
+    return F.rint(x * 10) / 10

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -36,25 +36,33 @@ def time_cells(grid: DataFrame, grid_ts: str, unit: str = "hour") -> DataFrame:
     return bounded.select(F.explode(chunks).alias("chunk"), "snapshot_ts", "lo2", "hi2", "_first", "_last")
 
 
-def asof_nearest_time(obs: DataFrame, grid: DataFrame, ts: str = "ts", grid_ts: str = "grid_ts",
-                      unit: str = "hour") -> DataFrame:
-    """Add ``snapshot_ts``: the grid time nearest to each observation (earlier on a tie).
+def time_placer(grid: DataFrame, ts: str, grid_ts: str, unit: str = "hour") -> Callable[[DataFrame], DataFrame]:
+    """Function that adds ``snapshot_ts``, the grid time nearest to ``ts`` (earlier on a tie).
 
-    Every observation meets exactly one interval in an equi-join on its time chunk; observations
-    outside the grid's time range are clamped to its first or last chunk.
+    Every row meets exactly one interval in an equi-join on its time chunk; rows outside the grid's
+    time range are clamped to its first or last chunk. The size of the interval table is checked once.
     """
-    cells = time_cells(grid, grid_ts, unit)
+    right = broadcast_if_small(time_cells(grid, grid_ts, unit))
     span = (grid.where(F.col(grid_ts).isNotNull())
             .agg(F.min(F.col(grid_ts).cast("timestamp")).alias("t0"), F.max(F.col(grid_ts).cast("timestamp")).alias("t1"))
             .select(F.struct("t0", "t1")).scalar())
     moment = F.col(ts).cast("timestamp")
     clamped = F.least(F.greatest(moment, span.getField("t0")), span.getField("t1"))
-    keyed = obs.withColumn("_chunk", F.when(moment.isNotNull(), F.date_trunc(unit, clamped)))
     twice = 2 * F.unix_micros(moment)
     inside = (F.col("_first") | (twice > F.col("lo2"))) & (F.col("_last") | (twice <= F.col("hi2")))
-    right = broadcast_if_small(cells)
-    return (keyed.join(right, (F.col("_chunk") == F.col("chunk")) & inside, "left")
-            .select(*obs.columns, "snapshot_ts"))
+
+    def place(df: DataFrame) -> DataFrame:
+        keyed = df.withColumn("_chunk", F.when(moment.isNotNull(), F.date_trunc(unit, clamped)))
+        return (keyed.join(right, (F.col("_chunk") == F.col("chunk")) & inside, "left")
+                .select(*df.columns, "snapshot_ts"))
+
+    return place
+
+
+def asof_nearest_time(obs: DataFrame, grid: DataFrame, ts: str = "ts", grid_ts: str = "grid_ts",
+                      unit: str = "hour") -> DataFrame:
+    """Add ``snapshot_ts``: the grid time nearest to each observation."""
+    return time_placer(grid, ts, grid_ts, unit)(obs)
 
 
 def align_hourly(obs: DataFrame, grid: DataFrame, features: Sequence[str], ts: str = "ts",

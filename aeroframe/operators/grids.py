@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from aeroframe import values as V
+from aeroframe.functions.geo import tenth_degree
 
 
 def grid_shape(box: tuple[float, float, float, float], resolution_km: float = V.GRID_RESOLUTION_KM):
@@ -53,7 +54,7 @@ def band_mean_grid(pixels: DataFrame, band: str, start: Column, end: Column, ts:
                    lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Mean of a band per tenth-degree cell within [start, end), stamped with the start."""
     kept = pixels.where((F.col(ts) >= start) & (F.col(ts) < end))
-    return kept.groupBy(F.bround(lat, 1).alias("latitude"), F.bround(lon, 1).alias("longitude")).agg(
+    return kept.groupBy(tenth_degree(F.col(lat)).alias("latitude"), tenth_degree(F.col(lon)).alias("longitude")).agg(
         F.avg(band).alias(band)).select(start.alias("timestamp"), "latitude", "longitude", band)
 
 
@@ -66,7 +67,7 @@ def merge_products(products: Sequence[DataFrame], bands: Sequence[str]) -> DataF
     stacked = None
     for p in products:
         part = p.select(
-            "timestamp", F.bround("latitude", 1).alias("latitude"), F.bround("longitude", 1).alias("longitude"),
+            "timestamp", tenth_degree(F.col("latitude")).alias("latitude"), tenth_degree(F.col("longitude")).alias("longitude"),
             *[F.col(b) if b in p.columns else F.lit(None).cast("double").alias(b) for b in bands])
         stacked = part if stacked is None else stacked.unionByName(part)
     return stacked.groupBy("timestamp", "latitude", "longitude").agg(*[F.max(b).alias(b) for b in bands])

@@ -46,37 +46,39 @@ def clean_source(df: DataFrame, source: str, ordinal: str = "ordinal") -> DataFr
 
 
 def attach_grid(obs: DataFrame, grid: DataFrame | None, features: Sequence[str], prefix: str,
-                strategy: str = "nearest", ts: str = "ts", grid_ts: str = "timestamp") -> DataFrame:
+                strategy: str = "nearest", ts: str = "ts", grid_ts: str = "timestamp",
+                places: DataFrame | None = None) -> DataFrame:
     """Time first, then space: features of the nearest cell in the matching snapshot, and its distance.
 
-    Matching runs on the distinct (place, snapshot) pairs and is joined back. Without a grid the
-    features and the distance are null.
+    Matching runs on the distinct (place, time) pairs of ``places`` (by default ``obs`` itself) and is
+    joined back. Without a grid the features and the distance are null.
     """
     distance = f"{prefix}_match_distance_km"
+    if strategy not in V.TEMPORAL_STRATEGIES:
+        raise ValueError(f"unknown temporal strategy: {strategy}")
     if grid is None:
         return obs.withColumns({**{f: F.lit(None).cast("double") for f in features},
                                 distance: F.lit(None).cast("double")})
-    if strategy not in V.TEMPORAL_STRATEGIES:
-        raise ValueError(f"unknown temporal strategy: {strategy}")
     absent = [f for f in features if f not in grid.columns]
     if absent:
         grid = grid.withColumns({f: F.lit(None).cast("double") for f in absent})
     order = ("ordinal",)
     if strategy == "nearest":
-        placed = align.asof_nearest_time(obs, grid, ts, grid_ts)
+        place = align.time_placer(grid, ts, grid_ts)
         cells = grid.withColumn("snapshot_ts", F.col(grid_ts).cast("timestamp"))
     elif strategy == "hourly":
-        placed = obs.withColumn("snapshot_ts", F.date_trunc("hour", F.col(ts)))
+        place = lambda df: df.withColumn("snapshot_ts", F.date_trunc("hour", F.col(ts)))
         cells = grid.withColumn("snapshot_ts", F.date_trunc("hour", F.col(grid_ts)))
     else:
-        placed = obs.withColumn("snapshot_ts", F.date_trunc("day", F.col(ts)))
+        place = lambda df: df.withColumn("snapshot_ts", F.date_trunc("day", F.col(ts)))
         cells = align.cell_day_means(grid, features, grid_ts, "latitude", "longitude").withColumn(
             "snapshot_ts", F.col(grid_ts))
         order = ("latitude", "longitude")
-    asked = placed.where(F.col("snapshot_ts").isNotNull())
+    narrow = (obs if places is None else places).select(ts, "latitude", "longitude")
+    asked = place(narrow).where(F.col("snapshot_ts").isNotNull())
     matched = spatial.nearest_cell(asked, cells, features, "snapshot_ts", order)
     renamed = matched.withColumnsRenamed({"match_distance_km": distance})
-    return (placed.join(renamed, ["snapshot_ts", "latitude", "longitude"], "left")
+    return (place(obs).join(renamed, ["snapshot_ts", "latitude", "longitude"], "left")
             .select(*obs.columns, *features, distance))
 
 
@@ -85,10 +87,11 @@ def integrate(obs: DataFrame, stations: DataFrame, satellite: DataFrame | None,
               ordinal: str = "ordinal") -> DataFrame:
     """Observations with registry, gridded features, derived features and the chosen fill, in fixed columns."""
     merged = reg.join_station_metadata(obs, stations)
-    merged = attach_grid(merged, satellite, V.SATELLITE_FEATURES, "satellite", temporal, ts)
+    places = merged.select(ts, "latitude", "longitude")      # both grids are matched from here
+    merged = attach_grid(merged, satellite, V.SATELLITE_FEATURES, "satellite", temporal, ts, places=places)
     raw_wind = weather_grid is not None and {"u_wind", "v_wind"} <= set(weather_grid.columns)
     wanted = [*V.METEOROLOGY_FEATURES, *(["u_wind", "v_wind"] if raw_wind else [])]
-    merged = attach_grid(merged, weather_grid, wanted, "era5", temporal, ts)
+    merged = attach_grid(merged, weather_grid, wanted, "era5", temporal, ts, places=places)
     built = {**tm.calendar_columns(F.col(ts)), **{k: v for k, v in tm.time_keys(F.col(ts)).items() if k in ("date", "time")}}
     if raw_wind:
         built["wind_speed"] = weather.wind_speed(F.col("u_wind"), F.col("v_wind"))

@@ -14,6 +14,14 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # keep splitting hot join keys even when it costs one more shuffle later on
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # the JVM never compiles methods above 8000 bytes: split such generated code instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+# fixed once a session exists
+STATIC_SETTINGS = {
+    # recording the Python call site of every column step costs more than planning does
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -21,7 +29,7 @@ def build_session(master: str | None = None, app: str = "aeroframe", **extra: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **STATIC_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
