@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from aeroframe import values as V
-from aeroframe.operators.sizes import broadcast_if_small
+from aeroframe.operators.sizes import attach_row, broadcast_if_small
 
 
 def time_cells(grid: DataFrame, grid_ts: str, unit: str = "hour") -> DataFrame:
@@ -30,7 +30,7 @@ def time_cells(grid: DataFrame, grid_ts: str, unit: str = "hour") -> DataFrame:
         F.col("t").alias("snapshot_ts"),
         (micros("prev") + micros("t")).alias("lo2"), (micros("t") + micros("next")).alias("hi2"),
         F.col("prev").isNull().alias("_first"), F.col("next").isNull().alias("_last"))
-    half = lambda c, none: F.date_trunc(unit, F.coalesce(F.timestamp_micros(F.floor(F.col(c) / 2)), F.col(none)))
+    half = lambda c, none: F.date_trunc(unit, F.coalesce(F.timestamp_micros(F.shiftright(F.col(c), 1)), F.col(none)))
     step = F.expr(f"interval 1 {unit}")
     chunks = F.sequence(half("lo2", "snapshot_ts"), half("hi2", "snapshot_ts"), step)
     return bounded.select(F.explode(chunks).alias("chunk"), "snapshot_ts", "lo2", "hi2", "_first", "_last")
@@ -44,15 +44,14 @@ def time_placer(grid: DataFrame, ts: str, grid_ts: str, unit: str = "hour") -> C
     """
     right = broadcast_if_small(time_cells(grid, grid_ts, unit))
     span = (grid.where(F.col(grid_ts).isNotNull())
-            .agg(F.min(F.col(grid_ts).cast("timestamp")).alias("t0"), F.max(F.col(grid_ts).cast("timestamp")).alias("t1"))
-            .select(F.struct("t0", "t1")).scalar())
+            .agg(F.min(F.col(grid_ts).cast("timestamp")).alias("t0"), F.max(F.col(grid_ts).cast("timestamp")).alias("t1")))
     moment = F.col(ts).cast("timestamp")
-    clamped = F.least(F.greatest(moment, span.getField("t0")), span.getField("t1"))
+    clamped = F.least(F.greatest(moment, F.col("_span.t0")), F.col("_span.t1"))
     twice = 2 * F.unix_micros(moment)
     inside = (F.col("_first") | (twice > F.col("lo2"))) & (F.col("_last") | (twice <= F.col("hi2")))
 
     def place(df: DataFrame) -> DataFrame:
-        keyed = df.withColumn("_chunk", F.when(moment.isNotNull(), F.date_trunc(unit, clamped)))
+        keyed = attach_row(df, span, "_span").withColumn("_chunk", F.when(moment.isNotNull(), F.date_trunc(unit, clamped)))
         return (keyed.join(right, (F.col("_chunk") == F.col("chunk")) & inside, "left")
                 .select(*df.columns, "snapshot_ts"))
 

@@ -10,6 +10,7 @@ from aeroframe import values as V
 from aeroframe.operators.dedup import distinct_rows, mark_first
 from aeroframe.operators.filters import any_negative, invalid_coordinates
 from aeroframe.operators.orderstat import exact_quantiles, wide_quantiles
+from aeroframe.operators.sizes import attach_row
 
 
 def pivot_first(long: DataFrame, keys: Sequence[str], pollutants: dict[str, str], pollutant: str = "pollutant",
@@ -47,8 +48,8 @@ def is_outlier(column: str, fences: Column) -> Column:
 
 def flag_outliers(df: DataFrame, columns: Sequence[str], fences: DataFrame | None = None) -> DataFrame:
     """Add ``<column>_outlier``. Pass ``fences`` to judge against a table computed elsewhere."""
-    row = (outlier_fences(df, columns) if fences is None else fences).select(F.struct("*")).scalar()
-    return df.withColumns({f"{c}_outlier": is_outlier(c, row) for c in columns})
+    held = attach_row(df, outlier_fences(df, columns) if fences is None else fences, "_fences")
+    return held.withColumns({f"{c}_outlier": is_outlier(c, F.col("_fences")) for c in columns}).drop("_fences")
 
 
 def cleaning_flags(df: DataFrame, station: str, ts: str, columns: Sequence[str], ordinal: str) -> DataFrame:
@@ -63,9 +64,9 @@ def cleaning_metrics(df: DataFrame, station: str, ts: str, columns: Sequence[str
     content = [c for c in df.columns if c != ordinal]
     flags = cleaning_flags(df, station, ts, columns, ordinal)
     kept = F.col("is_first") & ~F.col("is_negative")
-    fences = outlier_fences(flags.where(kept), columns).select(F.struct("*")).scalar()
+    flags = attach_row(flags, outlier_fences(flags.where(kept), columns), "_fences")
     nulls = sum(F.when(F.col(c).isNull(), 1).otherwise(0) for c in content)
-    outliers = sum(F.when(is_outlier(c, fences), 1).otherwise(0) for c in columns)
+    outliers = sum(F.when(is_outlier(c, F.col("_fences")), 1).otherwise(0) for c in columns)
     off = invalid_coordinates(F.col(lat), F.col(lon)) if lat and lon else F.lit(False)
     total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
     return flags.agg(

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from aeroframe import values as V
 from aeroframe.operators.orderstat import exact_quantiles, wide_quantiles
+from aeroframe.operators.sizes import attach_row
 
 
 def _chunked(df: DataFrame, ts: str, chunk: str) -> DataFrame:
@@ -118,5 +119,5 @@ def apply_strategy(df: DataFrame, strategy: str, numeric: Sequence[str], station
 
 def mean_zero_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Null becomes the column mean, and 0 when the column has no value at all."""
-    means = df.agg(*[F.avg(c).alias(c) for c in columns]).select(F.struct(*columns)).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c), means.getField(c), F.lit(0.0)) for c in columns})
+    held = attach_row(df, df.agg(*[F.avg(c).alias(c) for c in columns]), "_means")
+    return held.withColumns({c: F.coalesce(F.col(c), F.col(f"_means.{c}"), F.lit(0.0)) for c in columns}).drop("_means")

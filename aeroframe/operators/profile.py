@@ -11,6 +11,7 @@ from aeroframe.operators.columns import numeric_columns
 from aeroframe.operators.fill import mean_zero_fill
 from aeroframe.operators.orderstat import exact_quantiles, wide_quantiles
 from aeroframe.operators.quality import null_percentages
+from aeroframe.operators.sizes import attach_row
 
 
 def _long(one: DataFrame, names: Sequence[str], metrics: dict[str, str], key: str = "column_name") -> DataFrame:
@@ -184,6 +185,6 @@ def prepared_features(df: DataFrame, columns: Sequence[str], target: str) -> Dat
     rows = df.where(F.col(target).isNotNull())
     known = rows.agg(*[F.count(c).alias(c) for c in columns]).collect()[0]
     kept = [c for c in columns if known[c] > 0]
-    medians = training_medians(rows, kept).select(F.struct("*")).scalar()
-    return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), medians.getField(f"{c}_median")) for c in kept}).select(
+    held = attach_row(rows, training_medians(rows, kept), "_medians")
+    return held.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_medians.{c}_median")) for c in kept}).select(
         *[c for c in df.columns if c not in columns or c in kept])

@@ -11,7 +11,7 @@ from aeroframe.functions import geo, time as tm
 from aeroframe.operators.columns import numeric_columns
 from aeroframe.operators.dedup import first_per_key, mark_first
 from aeroframe.operators.orderstat import upper_median_time
-from aeroframe.operators.sizes import broadcast_if_small
+from aeroframe.operators.sizes import attach_row, broadcast_if_small
 
 
 # -- rejection -------------------------------------------------------------------------------
@@ -90,13 +90,12 @@ def within_radius(df: DataFrame, lat: str = "latitude", lon: str = "longitude",
     y, x = F.col(lat).try_cast("double"), F.col(lon).try_cast("double")
     if reference is None:
         both = y.isNotNull() & x.isNotNull()
-        centre = df.agg(F.avg(F.when(both, y)).alias("y"), F.avg(F.when(both, x)).alias("x")).select(
-            F.struct("y", "x")).scalar()
-        y0, x0 = centre.getField("y"), centre.getField("x")
+        df = attach_row(df, df.agg(F.avg(F.when(both, y)).alias("y"), F.avg(F.when(both, x)).alias("x")), "_centre")
+        y0, x0 = F.col("_centre.y"), F.col("_centre.x")
     else:
         y0, x0 = F.lit(reference[0]), F.lit(reference[1])
     km = geo.haversine_km(y, x, y0, x0, V.EARTH_RADIUS_TOLERANCE_KM)
-    return df.withColumn("accepted", F.coalesce(km <= tolerance_km, F.lit(False)))
+    return df.withColumn("accepted", F.coalesce(km <= tolerance_km, F.lit(False))).drop("_centre")
 
 
 def earliest_per_station_day(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:

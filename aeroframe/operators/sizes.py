@@ -15,3 +15,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """
     fits = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if fits else df
+
+
+def attach_row(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
+    """Add the single row of ``one_row`` as struct column ``name``.
+
+    An uncorrelated scalar subquery: it is planned and run once, and no join is involved.
+    """
+    return df.withColumn(name, one_row.select(F.struct("*")).scalar())

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aeroframe import values as V
 from aeroframe.operators.orderstat import order_statistics, time_levels
+from aeroframe.operators.sizes import attach_row
 
 
 def _label(df: DataFrame, key: Sequence[Column], cuts: DataFrame, names: Sequence[str]) -> DataFrame:
     """Rows before the first cut get the first name, and so on. Cuts are scalar subqueries."""
     one = cuts.agg(*[
         F.max(F.when(F.col("rank_name") == str(i), F.col("_cut"))).alias(f"c{i}") for i in range(len(names) - 1)
-    ]).select(F.struct("*")).scalar()
+    ])
+    held = attach_row(df, one, "_cuts")
     chain = None
     for i, name in enumerate(names[:-1]):
-        cut = one.getField(f"c{i}")
+        cut = F.col(f"_cuts.c{i}")
         fields = [cut.getField(f"k{j}") for j in range(len(key))]
         before = key[-1] < fields[-1]
         for k, f in list(zip(key, fields))[-2::-1]:
@@ -25,7 +27,7 @@ def _label(df: DataFrame, key: Sequence[Column], cuts: DataFrame, names: Sequenc
         # a cut past the last row does not exist: everything lies before it
         hit = cut.isNull() | before
         chain = F.when(hit, name) if chain is None else chain.when(hit, name)
-    return df.withColumn("split", chain.otherwise(names[-1]))
+    return held.withColumn("split", chain.otherwise(names[-1])).drop("_cuts")
 
 
 def chronological_split(
@@ -65,5 +67,5 @@ def random_split(df: DataFrame, ordinal: str, ratio: float = 0.7, seed: int = V.
 def split_summary(labelled: DataFrame) -> DataFrame:
     """Rows and actual ratio per split."""
     counts = labelled.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
-    total = counts.agg(F.sum("n_rows").alias("n")).scalar()
+    total = F.sum("n_rows").over(Window.partitionBy(F.lit(0)))      # three rows
     return counts.select("split", "n_rows", (F.col("n_rows") / total).alias("ratio"))
