@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -18,6 +20,16 @@ LINEAR, FOREST, EXTRA, BOOSTED = (
     "Linear Regression", "Random Forest Regressor", "Extra Trees Regressor", "Gradient Boosting Regressor")
 
 
+@contextmanager
+def held(df: DataFrame):
+    """Keep a table in executor storage while an iterative fit reads it again and again."""
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def as_doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Numeric and boolean features as doubles, the type imputers take."""
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
@@ -50,7 +62,8 @@ def preprocessing_stages(numeric: Sequence[str], categorical: Sequence[str] = ()
 
 
 def fit_preprocessing(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> PipelineModel:
-    return Pipeline(stages=preprocessing_stages(numeric, categorical)).fit(as_doubles(train, numeric))
+    with held(as_doubles(train.select(*numeric, *categorical), numeric)) as rows:
+        return Pipeline(stages=preprocessing_stages(numeric, categorical)).fit(rows)
 
 
 def scaling_table(model: PipelineModel, numeric: Sequence[str], spark) -> DataFrame:
@@ -78,7 +91,8 @@ def regressors(label: str = "label", n_trees: int = 100, depth: int = 8) -> dict
 def train_forest(train: DataFrame, numeric: Sequence[str], target: str, categorical: Sequence[str] = (),
                  n_trees: int = 100, depth: int = 12) -> PipelineModel:
     stages = preprocessing_stages(numeric, categorical) + [forest(n_trees, depth, label=target)]
-    return Pipeline(stages=stages).fit(as_doubles(train, numeric))
+    with held(as_doubles(train.select(*numeric, *categorical, target), numeric)) as rows:
+        return Pipeline(stages=stages).fit(rows)
 
 
 def importances(model: PipelineModel, frame: DataFrame) -> DataFrame:
@@ -111,17 +125,16 @@ def compare_models(train: DataFrame, validation: DataFrame, numeric: Sequence[st
     prep = fit_preprocessing(train, numeric)
     fit_on = prep.transform(as_doubles(train, numeric)).select("features", F.col(target).cast("double").alias("label"))
     judge_on = prep.transform(as_doubles(validation, numeric)).select("features", F.col(target).cast("double").alias("label"))
-    fit_on.persist()
     rows = None
-    for name, model in (models or regressors()).items():
-        try:
-            scored = model.fit(fit_on).transform(judge_on).withColumnsRenamed({"label": "actual", "prediction": "predicted"})
-            part = regression_metrics(scored).select(F.lit(name).alias("model"), "rmse", "mae", "r2")
-        except Exception:                                   # noqa: BLE001 - a failing model is a result
-            part = spark.range(1).select(F.lit(name).alias("model"), *[
-                F.lit(None).cast("double").alias(m) for m in ("rmse", "mae", "r2")])
-        rows = part if rows is None else rows.unionByName(part)
-    fit_on.unpersist()
+    with held(fit_on):
+        for name, model in (models or regressors()).items():
+            try:
+                scored = model.fit(fit_on).transform(judge_on).withColumnsRenamed({"label": "actual", "prediction": "predicted"})
+                part = regression_metrics(scored).select(F.lit(name).alias("model"), "rmse", "mae", "r2")
+            except Exception:                               # noqa: BLE001 - a failing model is a result
+                part = spark.range(1).select(F.lit(name).alias("model"), *[
+                    F.lit(None).cast("double").alias(m) for m in ("rmse", "mae", "r2")])
+            rows = part if rows is None else rows.unionByName(part)
     return rows
 
 
@@ -177,7 +190,9 @@ def tune_models(frame: DataFrame, grids: dict[str, tuple[object, list]], folds:
     for name, (est, grid) in grids.items():
         try:
             cv = CrossValidator(estimator=est, estimatorParamMaps=grid, numFolds=folds, parallelism=parallelism,
-                                evaluator=RegressionEvaluator(metricName="rmse"), seed=V.SEED).fit(frame)
+                                evaluator=RegressionEvaluator(metricName="rmse"), seed=V.SEED)
+            with held(frame):
+                cv = cv.fit(frame)
             best = min(range(len(grid)), key=lambda i: cv.avgMetrics[i])
             chosen = {p.name: v for p, v in grid[best].items()}
             rows.append((name, float(cv.avgMetrics[best]), str(dict(sorted(chosen.items())))))
