@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aeroframe import values as V
 from aeroframe.operators.columns import numeric_columns
-from aeroframe.operators.fill import mean_zero_fill
 from aeroframe.operators.orderstat import exact_quantiles, wide_quantiles
 from aeroframe.operators.quality import null_percentages
 from aeroframe.operators.sizes import attach_row
@@ -92,10 +91,17 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 
 def _filled_moments(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """After mean fill: covariance of each pair and deviation of each column, in one aggregate."""
-    filled = mean_zero_fill(df.select(*columns), columns)
-    return filled.agg(*[F.covar_pop(a, b).alias(f"c|{a}|{b}") for a, b in pairs],
-                      *[F.stddev_pop(c).alias(f"s|{c}") for c in columns])
+    """After mean fill: covariance of each pair, deviation of each column and whether it varies.
+
+    The means are known first, so every moment is a plain mean of products of centred values.
+    """
+    narrow = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    with_means = attach_row(narrow, narrow.agg(*[F.avg(c).alias(c) for c in columns]), "_means")
+    centred = with_means.select(*[F.coalesce(F.col(c) - F.col(f"_means.{c}"), F.lit(0.0)).alias(c) for c in columns])
+    return centred.agg(
+        *[F.avg(F.col(a) * F.col(b)).alias(f"c|{a}|{b}") for a, b in pairs],
+        *[F.sqrt(F.avg(F.col(c) * F.col(c))).alias(f"s|{c}") for c in columns],
+        *[(F.max(c) > F.min(c)).alias(f"v|{c}") for c in columns])
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -107,7 +113,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     r.update({(b, a): x for (a, b), x in list(r.items())})
     cells = F.array(*[
         F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), r[(a, b)].alias("r"),
-                 ((s[a] > 0) & (s[b] > 0)).alias("_ok")) for a in columns for b in columns])
+                 (F.col(f"`v|{a}`") & F.col(f"`v|{b}`")).alias("_ok")) for a in columns for b in columns])
     return one.select(F.explode(cells).alias("_c")).select("_c.*").where("_ok").drop("_ok")
 
 
@@ -120,8 +126,8 @@ def target_correlations(df: DataFrame, columns: Sequence[str], target: str) -> D
     cells = F.array(*[
         F.struct(F.lit(c).alias("feature"),
                  _pearson(F.col(f"`c|{c}|{target}`"), F.col(f"`s|{c}`"), F.col(f"`s|{target}`")).alias("r"),
-                 F.col(f"`s|{c}`").alias("_s")) for c in columns])
-    return one.select(F.explode(cells).alias("_c")).select("_c.*").where("_s > 0").drop("_s")
+                 F.col(f"`v|{c}`").alias("_v")) for c in columns])
+    return one.select(F.explode(cells).alias("_c")).select("_c.*").where("_v").drop("_v")
 
 
 def rank_features(ranked: DataFrame, feature: str = "feature", r: str = "r",

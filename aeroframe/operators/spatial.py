@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from aeroframe import values as V
 from aeroframe.functions.geo import haversine_km
+from aeroframe.session import cut_lineage
 
 _R = V.EARTH_RADIUS_MATCH_KM
 _SLACK = 1 + 1e-9
@@ -54,7 +55,8 @@ def nearest_cell(
 
     ``cells`` has latitude, longitude, ``features`` and the ``tie_order`` columns; with ``snapshot``
     both sides carry that column and only cells of the same snapshot count. Returns the point's keys,
-    the features and ``match_distance_km``.
+    the features and ``match_distance_km``. An action: distinct points and their first matches are
+    checkpointed.
     """
     if buckets_around & (buckets_around - 1):
         raise ValueError("buckets_around must be a power of two")
@@ -85,11 +87,19 @@ def nearest_cell(
 
     near = here.withColumn("_n", F.explode(_block(F.col("_by"), F.col("_bx"), F.lit(buckets_around))))
     near = search(near.select(*keys, F.col("_n.y").alias("_by"), F.col("_n.x").alias("_bx")))
-    checked = here.join(near, keys, "left")
+    # both the proven and the open points are taken from here: materialised once, not searched twice
+    checked = cut_lineage(here.join(near, keys, "left"))
     proven = F.coalesce(F.col("_best.d") <= _safe_km(size, F.col("latitude")), F.lit(False))
     done = checked.where(proven).select(*keys, "_best")
     rest = checked.where(~proven).select(*keys, "_by", "_bx")
 
+    def shown(found: DataFrame) -> DataFrame:
+        return found.select(*keys, *[F.col(f"_best.cell.{f}").alias(f) for f in features],
+                            F.col("_best.d").alias("match_distance_km"))
+
+    if rest.limit(1).count() == 0:
+        return shown(done)
+
     # occupied buckets on every level, each with one real cell as a witness
     occupied = there.groupBy(*snap, "_by", "_bx").agg(F.min(F.struct("_lat", "_lon")).alias("_w"))
     raised = occupied.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumns(
@@ -120,9 +130,7 @@ def nearest_cell(
     can_beat = (F.lit(_R) * F.radians(lat_gap) <= reach) & (side <= reach)
     far = search(shortlist.where(can_beat).select(*keys, "_by", "_bx").distinct())
 
-    found = done.unionByName(far.select(*keys, "_best"))
-    return found.select(*keys, *[F.col(f"_best.cell.{f}").alias(f) for f in features],
-                        F.col("_best.d").alias("match_distance_km"))
+    return shown(done.unionByName(far.select(*keys, "_best")))
 
 
 def match_points(stations: DataFrame, grid: DataFrame, features: Sequence[str], prefix: str,

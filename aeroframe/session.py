@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # small shuffles may feed heavy work (trigonometry per candidate pair): keep all cores busy
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # keep splitting hot join keys even when it costs one more shuffle later on
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
