@@ -19,7 +19,8 @@ def time_cells(grid: DataFrame, grid_ts: str, unit: str = "hour") -> DataFrame:
     """
     times = grid.where(F.col(grid_ts).isNotNull()).select(F.col(grid_ts).cast("timestamp").alias("t")).distinct()
     days = times.groupBy(F.date_trunc("day", "t").alias("day")).agg(F.min("t").alias("d0"), F.max("t").alias("d1"))
-    over_days = Window.partitionBy(F.lit(0)).orderBy("day")      # one row per calendar day
+    # one row per calendar day: a century is 36,525 rows
+    over_days = Window.partitionBy(F.lit(0)).orderBy("day")
     days = days.select("day", F.lag("d1").over(over_days).alias("before"), F.lead("d0").over(over_days).alias("after"))
     in_day = Window.partitionBy("day").orderBy("t")
     placed = (times.withColumn("day", F.date_trunc("day", "t")).join(F.broadcast(days), "day")

@@ -88,5 +88,7 @@ def forecast(latest: DataFrame, start: Column, horizon_hours: int = 72, default_
 
 
 def latest_values(readings: DataFrame, value: str = "aqi", ts: str = "ts") -> DataFrame:
+    """Latest known value per station; the larger one when two share the latest moment."""
     known = readings.where(F.col(value).isNotNull())
-    return known.groupBy("station_id").agg(F.max_by(F.col(value).cast("double"), F.col(ts)).alias("base"))
+    last = F.max(F.struct(F.col(ts).alias("ts"), F.col(value).cast("double").alias("v")))
+    return known.groupBy("station_id").agg(last.alias("_l")).select("station_id", F.col("_l.v").alias("base"))
