@@ -11,6 +11,12 @@ from aeroframe import values as V
 from aeroframe.functions.geo import tenth_degree
 
 
+def product(alias: str) -> dict | None:
+    """Collection, bands and resolution of a satellite or weather product; None when unknown."""
+    found = V.PRODUCTS.get(alias.upper())
+    return None if found is None else dict(zip(("collection", "bands", "metres"), found))
+
+
 def grid_shape(box: tuple[float, float, float, float], resolution_km: float = V.GRID_RESOLUTION_KM):
     """(lat step, lon step, rows, columns) of a grid over (west, south, east, north)."""
     west, south, east, north = box

@@ -307,6 +307,20 @@ def validate_grid(df: DataFrame, variables: Sequence[str], ts: str = "timestamp"
 
 # -- features ------------------------------------------------------------------------------------
 
+def value_ok(feature: str) -> Column:
+    """Whether a value fits the registered type and range of its feature; null always does."""
+    kind, low, high = next((f[3], f[6], f[7]) for f in V.FEATURES if f[0] == feature)
+    given = F.col(feature)
+    if kind == "numeric":
+        x = given.try_cast("double")
+        fits = F.coalesce(x.between(low, high), F.lit(False))
+    elif kind == "boolean":
+        fits = F.lower(given.cast("string")).isin("true", "false", "0", "1")
+    else:
+        fits = F.lit(True)
+    return given.isNull() | fits
+
+
 def feature_range_check(df: DataFrame) -> DataFrame:
     """Per registered feature: presence, null share, values out of range, type verdict."""
     present = [f for f in V.FEATURES if f[0] in df.columns]

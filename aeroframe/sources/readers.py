@@ -36,6 +36,14 @@ def newest_snapshot(spark: SparkSession, folder: str, pattern: str) -> str | Non
     return parent if fnmatch(parent.rsplit("/", 1)[1], pattern) else path
 
 
+def first_existing(spark: SparkSession, folder: str, names: Sequence[str]) -> str | None:
+    """Path of the first candidate that exists, else None (an action per candidate, listing only)."""
+    for name in names:
+        if newest_snapshot(spark, folder, name) is not None:
+            return f"{folder}/{name}"
+    return None
+
+
 def read_latest(spark: SparkSession, folder: str, pattern: str, schema: T.StructType,
                 numeric: Sequence[str] = ()) -> DataFrame | None:
     """Only the newest snapshot is read; None when there is none."""

@@ -221,3 +221,33 @@ def test_integration_without_grids(spark):
 def test_negative_rows(spark):
     df = spark.createDataFrame([(1, -1.0, None), (2, None, None), (3, 1.0, 2.0)], "i int, pm25 double, pm10 double")
     assert sorted(r.i for r in filters.drop_negative_rows(df).collect()) == [2, 3]
+
+
+def test_first_existing_candidate(spark, tmp_path):
+    (tmp_path / "cpcb_station_list.csv").write_text("id\n1\n")
+    assert readers.first_existing(spark, str(tmp_path), V.OFFICIAL_LIST_FILES).endswith("/cpcb_station_list.csv")
+    assert readers.first_existing(spark, str(tmp_path), V.SATELLITE_GRID_FILES) is None
+
+
+def test_products():
+    assert grids.product("tropomi_co")["bands"] == ["CO_column_number_density"]
+    assert grids.product("nothing") is None
+
+
+def test_single_values(spark):
+    df = spark.createDataFrame([("280", True), ("hot", None), ("10", False), (None, True)], "temperature string, weekend_flag boolean")
+    got = [(r.a, r.b) for r in df.select(quality.value_ok("temperature").alias("a"), quality.value_ok("weekend_flag").alias("b")).collect()]
+    assert got == [(True, True), (False, True), (False, True), (True, True)]
+
+
+def test_cleaning_flow_counts_add_up(spark):
+    rows = [(1, "s", "2024-01-01 00:00:00", 5.0), (2, "s", "2024-01-01 00:00:00", 5.0), (3, "s", "2024-01-01 00:00:00", 9.0),
+            (4, "s", "2024-01-02 00:00:00", -1.0), (5, "t", "nonsense", 2.0)]
+    df = spark.createDataFrame(rows, "ordinal long, station string, last_update string, pm2_5 double")
+    out = {r.ordinal: r for r in flows.clean_source(df, "CPCB").collect()}
+    assert set(out) == {1, 5} and out[1].last_update == "2024-01-01T00:00:00" and out[5].last_update is None
+    assert out[1].pm25_unit == "ug/m3" and out[1].pm25_outlier is False
+    m = clean.cleaning_metrics(cols.rename_pollutant_columns(df), "station", "last_update", ["pm25"], "ordinal").collect()[0]
+    assert (m.rows_before, m.duplicates_removed, m.duplicate_timestamps_removed, m.negative_pollutant_values, m.rows_after) == (5, 1, 1, 1, 2)
+    with pytest.raises(ValueError):
+        flows.clean_source(df, "elsewhere")
