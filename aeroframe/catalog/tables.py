@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F, types as T
 
 from aeroframe.catalog.registry import query, r, sql_r
-from aeroframe.operators import ml, scoring, split
+from aeroframe.operators import filters, ml, scoring, split
 from aeroframe.plans import flows
 from aeroframe.session import shared_dir
 from aeroframe.sources import readers, writers
@@ -112,16 +112,20 @@ def stream_fire_timeline(t):
     return jobs.run_available(jobs.fire_timeline_stream(fires), "fires").withColumn("total_frp", r("total_frp", 3))
 
 
-@query("stream_clean", """SELECT event_id, station_id, ts, pm25, pm25 > 100 AS pm25_outlier, 'ug/m3' AS pm25_unit FROM
- (SELECT event_id, user_id AS station_id, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN event_id % 97 = 0 THEN -value ELSE value END AS pm25 FROM events) WHERE pm25 >= 0""")
+@query("stream_clean", """WITH kept AS (SELECT event_id, user_id AS station_id, CAST(ts AS TIMESTAMP) AS ts, value AS pm25 FROM events WHERE event_id % 97 <> 0 OR value = 0),
+q AS (SELECT quantile_cont(pm25, 0.25) AS a, quantile_cont(pm25, 0.75) AS b FROM kept)
+SELECT event_id, station_id, ts, pm25, pm25 < a - 1.5 * (b - a) OR pm25 > b + 1.5 * (b - a) AS pm25_outlier, 'ug/m3' AS pm25_unit FROM kept, q""")
 def stream_clean(t):
     stream = jobs.read_stream(t.spark, t.folder, t.events.schema, "events.parquet")
-    readings = stream.select(
+    shaped = lambda df: df.select(
         "event_id", F.col("user_id").alias("station_id"), F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("event_id") % 97 == 0, -F.col("value")).otherwise(F.col("value")).alias("pm25"))
+    readings = shaped(stream)
+    # fences come from the finished table
+    fences = jobs.collect_fences(filters.drop_negative_rows(shaped(t.events), ["pm25"]), ["pm25"])
     # every row arrives twice: the second copy falls to the keyed de-duplication
     twice = readings.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-    return jobs.run_available(jobs.clean_stream(twice, "station_id", "ts", ["pm25"], {"pm25": (-1.0, 100.0)}), "clean")
+    return jobs.run_available(jobs.clean_stream(twice, "station_id", "ts", ["pm25"], fences), "clean")
 
 
 # -- models --------------------------------------------------------------------------------------------

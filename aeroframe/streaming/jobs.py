@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from aeroframe.operators.clean import is_outlier
+from aeroframe.operators.clean import is_outlier, outlier_fences
 from aeroframe.operators.columns import attach_units
 from aeroframe.operators.filters import drop_negative_rows
 from aeroframe.session import shared_dir
@@ -21,8 +21,14 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern:
     return reader.load(folder)
 
 
+def collect_fences(table: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
+    """Outlier fences of a finished table, ready for the streaming form (an action: one row)."""
+    row = outlier_fences(table, columns).collect()[0]
+    return {c: (row[f"{c}_low"], row[f"{c}_high"]) for c in columns}
+
+
 def clean_stream(stream: DataFrame, station: str, ts: str, columns: Sequence[str],
-                 fences: dict[str, tuple[float, float]] | None = None, delay: str = "2 hours") -> DataFrame:
+                 fences: dict[str, tuple[float | None, float | None]] | None = None, delay: str = "2 hours") -> DataFrame:
     """Keyed de-duplication inside the watermark, negatives out, outliers flagged, units attached.
 
     Outlier fences come from a finished table: quantiles cannot be kept incrementally.
@@ -31,7 +37,7 @@ def clean_stream(stream: DataFrame, station: str, ts: str, columns: Sequence[str
     kept = drop_negative_rows(once, columns)
     flags = {}
     for c, (low, high) in (fences or {}).items():
-        bounds = F.struct(F.lit(low).alias(f"{c}_low"), F.lit(high).alias(f"{c}_high"))
+        bounds = F.struct(F.lit(low).cast("double").alias(f"{c}_low"), F.lit(high).cast("double").alias(f"{c}_high"))
         flags[f"{c}_outlier"] = is_outlier(c, bounds)
     return attach_units(kept.withColumns(flags) if flags else kept)
 
