@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aeroframe.llm import (
-    common, decision_list, ga2m, langid, licences, mixing, packing, toxicity, vafile,
+    common, decision_list, ga2m, grulm, langid, licences, minhash, mixing, packing, toxicity, vafile,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,39 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+@query("op5_gated_recurrent")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-likelihood of every document under the recurrent model and under the unigram base."""
+    documents = common.table(spark, folder, "documents", "doc_id", "text")
+    training = documents.where(common.remainder("doc_id", 7) != 2)
+    counted = common.materialise(grulm.count_words(training), "word-counts")
+    return grulm.score(documents, counted, grulm.fit(training, counted), (7, 2))
+
+
+@query("op6_circulant_minhash", r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^ 	-]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+flat AS (SELECT doc_id, unnest(s) AS g FROM sets),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
+SELECT z.doc_id, z.n AS n_shingles, min(r.y) AS component_id, z.doc_id = min(r.y) AS kept
+FROM sizes z JOIN reach r ON r.x = z.doc_id GROUP BY z.doc_id, z.n
+""")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate component of every document on two-word shingles."""
+    return minhash.near_duplicates(common.table(spark, folder, "documents", "doc_id", "text"), size=2)
+
+
 @query("op7_splitting_tree", r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
