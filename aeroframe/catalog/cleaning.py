@@ -144,7 +144,7 @@ def hotspot_query(t):
 
 
 @query("station_query", """SELECT station_id, station_name, state, network FROM {v_stations} WHERE is_active AND lower(state) LIKE '%nation%'
- AND lower(network) = 'cpcb' ORDER BY station_id LIMIT 100""")
+ AND lower(network) = 'cpcb'""")
 def station_query(t):
     return filters.stations(t.v_stations, state="Nation", network="cpcb").select("station_id", "station_name", "state", "network")
 

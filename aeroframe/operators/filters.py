@@ -70,11 +70,11 @@ def hotspots(df: DataFrame, min_confidence: float = 0.6) -> DataFrame:
 
 
 def stations(df: DataFrame, state: str | None = None, network: str | None = None,
-             active_only: bool = True, limit: int = 100) -> DataFrame:
-    """Registry lookup, first ``limit`` rows by id."""
+             active_only: bool = True, limit: int | None = None) -> DataFrame:
+    """Registry lookup: all matches, or the first ``limit`` by id where a page is asked for."""
     kept = df.where("is_active") if active_only else df
     if state:
         kept = kept.where(F.lower("state").contains(state.lower()))
     if network:
         kept = kept.where(F.lower("network") == network.lower())
-    return kept.orderBy("station_id").limit(limit)
+    return kept if limit is None else kept.orderBy("station_id").limit(limit)

@@ -11,7 +11,7 @@ from aeroframe.functions import geo, time as tm
 from aeroframe.operators.columns import numeric_columns
 from aeroframe.operators.dedup import first_per_key, mark_first
 from aeroframe.operators.orderstat import upper_median_time
-from aeroframe.operators.sizes import attach_row, broadcast_if_small
+from aeroframe.operators.sizes import attach_row
 
 
 # -- rejection -------------------------------------------------------------------------------
@@ -111,7 +111,7 @@ def collocate(df: DataFrame, stations: DataFrame | None = None, tolerance_km: fl
     Stages: rejection, optional time window, optional radius, earliest row per station and day.
     """
     if stations is not None:
-        df = df.join(broadcast_if_small(stations.select("station_id").distinct()), "station_id", "left_semi")
+        df = df.join(stations.select("station_id").distinct(), "station_id", "left_semi")
     judged = reject_invalid(df, tolerance_km, ordinal).withColumn(
         "_moment", tm.parse_date_time(F.col("date"), F.col("time")))
     code = F.col("reason_code")

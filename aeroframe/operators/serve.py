@@ -70,10 +70,14 @@ def monthly_trend(df: DataFrame, ts: str, value: str, region: str) -> DataFrame:
 
 
 def forecast(latest: DataFrame, start: Column, horizon_hours: int = 72, default_base: float = 150.0) -> DataFrame:
-    """Hourly index steps per station from its latest value (``base``; unknown stations use the default)."""
-    steps = min(horizon_hours, 72)
+    """Hourly index steps per station from its latest value (``base``; unknown stations use the default).
+
+    As many steps as the horizon has hours; the trend has no natural end.
+    """
+    if horizon_hours < 1:
+        raise ValueError("the horizon must be at least one hour")
     rows = latest.select("station_id", F.coalesce("base", F.lit(default_base)).alias("base"),
-                         F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
+                         F.explode(F.sequence(F.lit(1), F.lit(horizon_hours))).alias("step"))
     at = start + F.make_interval(hours=F.col("step"))
     rows = rows.withColumn("forecast_at", at)
     daily = F.lit(1.0) + F.lit(0.15) * (F.lit(1.0) - F.abs(F.hour("forecast_at") - 6) / 12.0)

@@ -1,21 +1,9 @@
-"""Checked broadcasts."""
+"""Single rows as columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the frame is counted to hold at most ``max_rows`` rows.
-
-    Runs one bounded count. A larger frame comes back without a hint, so the join
-    shuffles both sides and adaptive execution splits its hot keys.
-    """
-    fits = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if fits else df
-
 
 def attach_row(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
     """Add the single row of ``one_row`` as struct column ``name``.

@@ -10,7 +10,6 @@ from aeroframe import values as V
 from aeroframe.functions.text import folded
 from aeroframe.operators.columns import rename_station_columns
 from aeroframe.operators.ordinal import materialise_ordinal
-from aeroframe.operators.sizes import broadcast_if_small
 
 
 def city_table(spark) -> DataFrame:
@@ -31,7 +30,7 @@ def join_station_metadata(obs: DataFrame, stations: DataFrame, name: str = "stat
     clashes = [c for c in stations.columns if c in obs.columns and c != name]
     right = stations.withColumnsRenamed({**{c: f"{c}_metadata" for c in clashes}, name: "_name"})
     on = F.col(name).eqNullSafe(F.col("_name"))
-    return obs.join(broadcast_if_small(right), on, "left").drop("_name")
+    return obs.join(right, on, "left").drop("_name")
 
 
 def consolidate(source_a: DataFrame, source_b: DataFrame) -> DataFrame:
@@ -113,8 +112,8 @@ def official_lookup(stations: DataFrame, official: DataFrame, ordinal: str = "or
     by_name = keyed.where("_name <> ''").groupBy("_name", "_city").agg(F.max("_row").alias("_by_name"))
     asked = stations.withColumns({
         "_id": folded(F.col("station_id")), "_name": folded(F.col("station_name")), "_city": folded(F.col("city"))})
-    return (asked.join(broadcast_if_small(by_id), "_id", "left")
-            .join(broadcast_if_small(by_name), ["_name", "_city"], "left")
+    return (asked.join(by_id, "_id", "left")
+            .join(by_name, ["_name", "_city"], "left")
             .select(*stations.columns, F.coalesce("_by_id.row", "_by_name.row").alias("official")))
 
 
