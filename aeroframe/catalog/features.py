@@ -14,11 +14,19 @@ _FULL = ["pm25", "pm10", "no2", "so2", "temperature", "relative_humidity"]
 
 # -- fills ---------------------------------------------------------------------------------------
 
-_W = "PARTITION BY station_id ORDER BY ts, ordinal"
+_W = "PARTITION BY station_id ORDER BY ts NULLS LAST, ordinal"
 
 
-@query("fill_forward", f"""SELECT ordinal, station_id, last_value(pm25 IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pm25,
- last_value(temperature IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS temperature FROM {{v_series}}""")
+def _placed(filled: str, c: str) -> str:
+    """A fill's value, for rows that have a station."""
+    return f"CASE WHEN station_id IS NULL THEN {c} ELSE {filled} END"
+
+
+def _last(c: str) -> str:
+    return _placed(f"last_value({c} IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", c)
+
+
+@query("fill_forward", f"SELECT ordinal, station_id, {_last('pm25')} AS pm25, {_last('temperature')} AS temperature FROM {{v_series}}")
 def fill_forward(t):
     return fill.forward_fill(t.v_series, ["pm25", "temperature"]).select("ordinal", "station_id", "pm25", "temperature")
 
@@ -31,14 +39,14 @@ def _interp(c: str) -> str:
 @query("fill_interpolate", f"""WITH z AS (SELECT *, row_number() OVER ({_W}) AS pos FROM {{v_series}}),
 k AS (SELECT *, {', '.join(f'''last_value(CASE WHEN {c} IS NOT NULL THEN struct_pack(p := pos, v := {c}) END IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p_{c},
  first_value(CASE WHEN {c} IS NOT NULL THEN struct_pack(p := pos, v := {c}) END IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n_{c}''' for c in ('pm25', 'temperature'))} FROM z)
-SELECT ordinal, station_id, {sql_r(_interp('pm25'))} AS pm25, {sql_r(_interp('temperature'))} AS temperature FROM k""")
+SELECT ordinal, station_id, {sql_r(_placed(_interp('pm25'), 'pm25'))} AS pm25, {sql_r(_placed(_interp('temperature'), 'temperature'))} AS temperature FROM k""")
 def fill_interpolate(t):
     out = fill.interpolate(t.v_series, ["pm25", "temperature"])
     return out.select("ordinal", "station_id", r("pm25").alias("pm25"), r("temperature").alias("temperature"))
 
 
 @query("fill_station_median", f"""WITH m AS (SELECT station_id, median(pm25) AS a, median(temperature) AS b FROM {{v_series}} GROUP BY 1)
-SELECT ordinal, s.station_id, {sql_r('coalesce(pm25, a)')} AS pm25, {sql_r('coalesce(temperature, b)')} AS temperature FROM {{v_series}} s JOIN m ON m.station_id = s.station_id""")
+SELECT ordinal, s.station_id, {sql_r('coalesce(pm25, a)')} AS pm25, {sql_r('coalesce(temperature, b)')} AS temperature FROM {{v_series}} s LEFT JOIN m ON m.station_id = s.station_id""")
 def fill_station_median(t):
     out = fill.station_median(t.v_series, ["pm25", "temperature"])
     return out.select("ordinal", "station_id", r("pm25").alias("pm25"), r("temperature").alias("temperature"))

@@ -1,8 +1,9 @@
 """Missing-value strategies per station, in (time, ordinal) order.
 
-A station's series is cut into time chunks. Windows run inside a chunk; what a chunk needs from its
-neighbours (last and next known value, row counts) comes from a summary with one row per chunk. A
-station that holds most rows is thus spread over as many tasks as it has chunks.
+A station's series is cut into time chunks, its rows without a time into pages of ordinals. Windows run
+inside a chunk; what a chunk needs from its neighbours (last and next known value, row counts) comes from
+a summary with one row per chunk. A station that holds most rows is thus spread over as many tasks as it
+has chunks. Rows without a station belong to no series: they pass through unchanged and unshuffled.
 """
 
 from __future__ import annotations
@@ -16,8 +17,21 @@ from aeroframe.operators.orderstat import exact_quantiles, wide_quantiles
 from aeroframe.operators.sizes import attach_row
 
 
-def _chunked(df: DataFrame, ts: str, chunk: str) -> DataFrame:
-    return df.withColumn("_chunk", F.date_trunc(chunk, F.col(ts)))
+_PAGE_BITS = 16                      # rows without a time: ordinals per page
+
+
+def _chunked(df: DataFrame, ts: str, chunk: str, ordinal: str) -> DataFrame:
+    """Add ``_chunk``, which sorts by time, rows without a time last."""
+    untimed = F.col(ts).isNull()
+    page = F.when(untimed, F.shiftright(F.col(ordinal).cast("long"), _PAGE_BITS))
+    return df.withColumn("_chunk", F.struct(
+        untimed.alias("untimed"), F.date_trunc(chunk, F.col(ts)).alias("begin"), page.alias("page")))
+
+
+def _per_station(df: DataFrame, station: str, filled) -> DataFrame:
+    """Apply ``filled`` to the rows that have a station."""
+    known = F.col(station).isNotNull()
+    return filled(df.where(known)).unionByName(df.where(~known))
 
 
 def _with_positions(df: DataFrame, station: str, ts: str, ordinal: str) -> DataFrame:
@@ -36,7 +50,7 @@ def _carries(placed: DataFrame, station: str, columns: Sequence[str], both: bool
             aggs += [F.min(at).alias(f"_fp_{c}"), F.min_by(F.when(known[c], F.col(c)), at).alias(f"_fv_{c}")]
     chunks = placed.groupBy(station, "_chunk").agg(*aggs)
 
-    order = Window.partitionBy(station).orderBy(F.col("_chunk").asc_nulls_last())
+    order = Window.partitionBy(station).orderBy("_chunk")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     after = order.rowsBetween(1, Window.unboundedFollowing)
     chunks = chunks.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
@@ -61,8 +75,12 @@ def _rejoin(placed: DataFrame, carries: DataFrame, station: str) -> DataFrame:
 
 def forward_fill(df: DataFrame, columns: Sequence[str], station: str = "station_id", ts: str = "ts",
                  ordinal: str = "ordinal", chunk: str = "day") -> DataFrame:
-    """Last known value of the station; leading nulls stay."""
-    placed = _with_positions(_chunked(df, ts, chunk), station, ts, ordinal)
+    """Last known value of the station; leading nulls stay, and so do rows without a station."""
+    return _per_station(df, station, lambda rows: _forward_fill(rows, columns, station, ts, ordinal, chunk))
+
+
+def _forward_fill(df, columns, station, ts, ordinal, chunk):
+    placed = _with_positions(_chunked(df, ts, chunk, ordinal), station, ts, ordinal)
     narrow = placed.select(station, "_chunk", "_pos", *columns)
     joined = _rejoin(placed, _carries(narrow, station, columns, both=False), station)
     upto = Window.partitionBy(station, "_chunk").orderBy("_pos").rowsBetween(
@@ -73,8 +91,15 @@ def forward_fill(df: DataFrame, columns: Sequence[str], station: str = "station_
 
 def interpolate(df: DataFrame, columns: Sequence[str], station: str = "station_id", ts: str = "ts",
                 ordinal: str = "ordinal", chunk: str = "day") -> DataFrame:
-    """Linear by row position within the station; the edges take the nearest known value."""
-    placed = _with_positions(_chunked(df, ts, chunk), station, ts, ordinal)
+    """Linear by row position within the station; the edges take the nearest known value.
+
+    Rows without a station stay as they are.
+    """
+    return _per_station(df, station, lambda rows: _interpolate(rows, columns, station, ts, ordinal, chunk))
+
+
+def _interpolate(df, columns, station, ts, ordinal, chunk):
+    placed = _with_positions(_chunked(df, ts, chunk, ordinal), station, ts, ordinal)
     narrow = placed.select(station, "_chunk", "_pos", *columns)
     joined = _rejoin(placed, _carries(narrow, station, columns, both=True), station)
     joined = joined.withColumn("_at", F.col("_pos") + F.col("_base"))
@@ -97,7 +122,11 @@ def interpolate(df: DataFrame, columns: Sequence[str], station: str = "station_i
 
 
 def station_median(df: DataFrame, columns: Sequence[str], station: str = "station_id") -> DataFrame:
-    """Null becomes the station's median; a station without values keeps its nulls."""
+    """Null becomes the station's median; a station without values and rows without a station keep theirs."""
+    return _per_station(df, station, lambda rows: _station_median(rows, columns, station))
+
+
+def _station_median(df, columns, station):
     medians = wide_quantiles(exact_quantiles(df, columns, [0.5], by=[station]), columns, {0.5: "median"}, [station])
     joined = df.join(medians, station, "left")
     return joined.select(*[
@@ -105,13 +134,14 @@ def station_median(df: DataFrame, columns: Sequence[str], station: str = "statio
 
 
 def apply_strategy(df: DataFrame, strategy: str, numeric: Sequence[str], station: str = "station_id",
-                   ts: str = "ts", ordinal: str = "ordinal", others: Sequence[str] = ()) -> DataFrame:
+                   ts: str = "ts", ordinal: str = "ordinal", others: Sequence[str] = (), chunk: str = "day") -> DataFrame:
+    """Fill by name of the strategy; ``chunk`` is the time unit that splits a station's series."""
     if strategy not in V.MISSING_STRATEGIES:
         raise ValueError(f"unknown missing-value strategy: {strategy}")
     if strategy == "interpolation":
-        return interpolate(df, numeric, station, ts, ordinal)
+        return interpolate(df, numeric, station, ts, ordinal, chunk)
     if strategy == "forward_fill":
-        return forward_fill(df, [*numeric, *others], station, ts, ordinal)
+        return forward_fill(df, [*numeric, *others], station, ts, ordinal, chunk)
     if strategy == "station_median":
         return station_median(df, numeric, station)
     return df

@@ -84,8 +84,11 @@ def attach_grid(obs: DataFrame, grid: DataFrame | None, features: Sequence[str],
 
 def integrate(obs: DataFrame, stations: DataFrame, satellite: DataFrame | None, weather_grid: DataFrame | None,
               temporal: str = "nearest", missing: str = "leave_missing", ts: str = "ts",
-              ordinal: str = "ordinal") -> DataFrame:
-    """Observations with registry, gridded features, derived features and the chosen fill, in fixed columns."""
+              ordinal: str = "ordinal", chunk: str = "day") -> DataFrame:
+    """Observations with registry, gridded features, derived features and the chosen fill, in fixed columns.
+
+    ``chunk`` is the time unit that splits a station's series in the fill.
+    """
     merged = reg.join_station_metadata(obs, stations)
     places = merged.select(ts, "latitude", "longitude")      # both grids are matched from here
     merged = attach_grid(merged, satellite, V.SATELLITE_FEATURES, "satellite", temporal, ts, places=places)
@@ -98,7 +101,7 @@ def integrate(obs: DataFrame, stations: DataFrame, satellite: DataFrame | None,
         built["wind_direction"] = weather.wind_direction(F.col("u_wind"), F.col("v_wind"))
     table = merged.withColumns(built)
     numeric = [c for c in V.POLLUTANT_FEATURES + V.METEOROLOGY_FEATURES + V.SATELLITE_FEATURES if c in table.columns]
-    table = fill.apply_strategy(table, missing, numeric, "station_id", ts, ordinal)
+    table = fill.apply_strategy(table, missing, numeric, "station_id", ts, ordinal, chunk=chunk)
     table = table.withColumn("placeholder_used", F.lit(satellite is None or weather_grid is None))
     kept = T.StructType([T.StructField(ordinal, T.LongType()), *MERGED_SCHEMA.fields])
     return cols.ensure_columns(table, kept)
@@ -144,7 +147,7 @@ def feature_selection(df: DataFrame, features: Sequence[str], target: str, impor
 
 
 def train_and_score(df: DataFrame, numeric: Sequence[str], target: str, ts: str, ordinal: str,
-                    n_trees: int = 20, depth: int = 8) -> tuple[object, DataFrame, DataFrame]:
+                    n_trees: int = 100, depth: int = 12) -> tuple[object, DataFrame, DataFrame]:
     """Range check, chronological split, fit on train, score on test: (model, metrics, scored rows)."""
     failed = quality.feature_range_check(df).where("status = 'FAILED'").limit(1).count()
     if failed:
