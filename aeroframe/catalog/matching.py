@@ -22,6 +22,17 @@ def asof_nearest_time(t):
     return align.asof_nearest_time(t.v_obs_long, t.v_pixels, "ts", "timestamp").select("ordinal", "snapshot_ts")
 
 
+@query("asof_grid_features", f"""WITH {_NEAREST},
+ends AS (SELECT {_TS} AS g, arg_min(struct_pack(a := aod, h := hcho), ordinal) AS head, arg_max(struct_pack(a := aod, h := hcho), ordinal) AS tail FROM {{v_pixels}} GROUP BY 1)
+SELECT o.ordinal, n.snapshot_ts, {sql_r('CASE WHEN o.ts >= n.snapshot_ts THEN e.tail.a ELSE e.head.a END')} AS aod,
+ {sql_r('CASE WHEN o.ts >= n.snapshot_ts THEN e.tail.h ELSE e.head.h END')} AS hcho
+FROM {{v_obs_long}} o LEFT JOIN near n ON n.ordinal = o.ordinal LEFT JOIN ends e ON e.g = n.snapshot_ts""")
+def asof_grid_features(t):
+    grid = t.v_pixels.select("ordinal", "timestamp", "aod", "hcho")
+    out = align.asof_features(t.v_obs_long.select("ordinal", "ts"), grid, ["aod", "hcho"], "ts", "timestamp")
+    return out.select("ordinal", "snapshot_ts", r("aod").alias("aod"), r("hcho").alias("hcho"))
+
+
 @query("align_hourly", f"""WITH m AS (SELECT date_trunc('hour', {_TS}) AS h, avg(aod) AS aod, avg(hcho) AS hcho FROM {{v_pixels}} GROUP BY 1)
 SELECT o.ordinal, {sql_r('aod')} AS aod, {sql_r('hcho')} AS hcho FROM {{v_obs_long}} o LEFT JOIN m ON m.h = date_trunc('hour', o.ts)""")
 def align_hourly(t):

@@ -7,54 +7,50 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from aeroframe import values as V
-from aeroframe.operators.sizes import attach_row, broadcast_if_small
 
 
-def time_cells(grid: DataFrame, grid_ts: str, unit: str = "hour") -> DataFrame:
-    """Which grid time is nearest, as intervals: (chunk, snapshot_ts, lo2, hi2).
+def nearest_times(moments: DataFrame, grid: DataFrame, grid_ts: str, unit: str = "hour") -> DataFrame:
+    """(moment, snapshot_ts) for the distinct times in the single column ``moment``: the grid time nearest to each.
 
-    A moment t belongs to ``snapshot_ts`` when lo2 < 2t <= hi2 in microseconds, so a moment halfway
-    between two grid times goes to the earlier one. Each interval is listed once per time chunk it
-    touches; the first and the last are open-ended.
+    Both kinds of times are sorted together inside time chunks of the given unit; the last grid time before
+    a chunk and the first one after it come from a summary with one row per chunk. So the spacing of the
+    grid does not matter, and a task never holds more than the distinct times of one chunk. A moment
+    halfway between two grid times goes to the earlier one.
     """
-    times = grid.where(F.col(grid_ts).isNotNull()).select(F.col(grid_ts).cast("timestamp").alias("t")).distinct()
-    days = times.groupBy(F.date_trunc("day", "t").alias("day")).agg(F.min("t").alias("d0"), F.max("t").alias("d1"))
-    # one row per calendar day: a century is 36,525 rows
-    over_days = Window.partitionBy(F.lit(0)).orderBy("day")
-    days = days.select("day", F.lag("d1").over(over_days).alias("before"), F.lead("d0").over(over_days).alias("after"))
-    in_day = Window.partitionBy("day").orderBy("t")
-    placed = (times.withColumn("day", F.date_trunc("day", "t")).join(F.broadcast(days), "day")
-              .withColumn("prev", F.coalesce(F.lag("t").over(in_day), F.col("before")))
-              .withColumn("next", F.coalesce(F.lead("t").over(in_day), F.col("after"))))
-    micros = F.unix_micros
-    bounded = placed.select(
-        F.col("t").alias("snapshot_ts"),
-        (micros("prev") + micros("t")).alias("lo2"), (micros("t") + micros("next")).alias("hi2"),
-        F.col("prev").isNull().alias("_first"), F.col("next").isNull().alias("_last"))
-    half = lambda c, none: F.date_trunc(unit, F.coalesce(F.timestamp_micros(F.shiftright(F.col(c), 1)), F.col(none)))
-    step = F.expr(f"interval 1 {unit}")
-    chunks = F.sequence(half("lo2", "snapshot_ts"), half("hi2", "snapshot_ts"), step)
-    return bounded.select(F.explode(chunks).alias("chunk"), "snapshot_ts", "lo2", "hi2", "_first", "_last")
+    asked = moments.where(F.col("moment").isNotNull()).select("moment", F.lit(False).alias("_grid"))
+    times = grid.where(F.col(grid_ts).isNotNull()).select(F.col(grid_ts).cast("timestamp").alias("moment"), F.lit(True).alias("_grid"))
+    both = asked.unionByName(times).groupBy("moment").agg(F.max("_grid").alias("_grid"), F.min("_grid").alias("_only"))
+    both = both.withColumn("_chunk", F.date_trunc(unit, "moment"))
+    at = F.when(F.col("_grid"), F.col("moment"))
+
+    # one row per chunk of time that holds anything: a century of hours is 876,600 rows
+    over_chunks = Window.partitionBy(F.lit(0)).orderBy("_chunk")
+    chunks = both.groupBy("_chunk").agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+    chunks = chunks.select(
+        F.col("_chunk").alias("_c"),
+        F.last("_last", ignorenulls=True).over(over_chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_first", ignorenulls=True).over(over_chunks.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+
+    inside = Window.partitionBy("_chunk").orderBy("moment")
+    placed = both.withColumns({
+        "_prev": F.last(at, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "_next": F.first(at, ignorenulls=True).over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
+    placed = placed.where(~F.col("_only")).join(chunks, F.col("_chunk") == F.col("_c"), "left")
+    prev, after = F.coalesce("_prev", "_before"), F.coalesce("_next", "_after")
+    nearer = F.unix_micros("moment") * 2 <= F.unix_micros(prev) + F.unix_micros(after)
+    return placed.select("moment", F.when(after.isNull() | nearer, prev).otherwise(after).alias("snapshot_ts"))
 
 
 def time_placer(grid: DataFrame, ts: str, grid_ts: str, unit: str = "hour") -> Callable[[DataFrame], DataFrame]:
     """Function that adds ``snapshot_ts``, the grid time nearest to ``ts`` (earlier on a tie).
 
-    Every row meets exactly one interval in an equi-join on its time chunk; rows outside the grid's
-    time range are clamped to its first or last chunk. The size of the interval table is checked once.
+    Only distinct times are sorted; rows meet theirs in an equi-join.
     """
-    right = broadcast_if_small(time_cells(grid, grid_ts, unit))
-    span = (grid.where(F.col(grid_ts).isNotNull())
-            .agg(F.min(F.col(grid_ts).cast("timestamp")).alias("t0"), F.max(F.col(grid_ts).cast("timestamp")).alias("t1")))
     moment = F.col(ts).cast("timestamp")
-    clamped = F.least(F.greatest(moment, F.col("_span.t0")), F.col("_span.t1"))
-    twice = 2 * F.unix_micros(moment)
-    inside = (F.col("_first") | (twice > F.col("lo2"))) & (F.col("_last") | (twice <= F.col("hi2")))
 
     def place(df: DataFrame) -> DataFrame:
-        keyed = attach_row(df, span, "_span").withColumn("_chunk", F.when(moment.isNotNull(), F.date_trunc(unit, clamped)))
-        return (keyed.join(right, (F.col("_chunk") == F.col("chunk")) & inside, "left")
-                .select(*df.columns, "snapshot_ts"))
+        known = nearest_times(df.select(moment.alias("moment")).distinct(), grid, grid_ts, unit)
+        return df.join(known, moment == F.col("moment"), "left").select(*df.columns, "snapshot_ts")
 
     return place
 
@@ -65,6 +61,22 @@ def asof_nearest_time(obs: DataFrame, grid: DataFrame, ts: str = "ts", grid_ts:
     return time_placer(grid, ts, grid_ts, unit)(obs)
 
 
+def asof_features(obs: DataFrame, grid: DataFrame, features: Sequence[str], ts: str = "ts", grid_ts: str = "grid_ts",
+                  ordinal: str = "ordinal", unit: str = "hour") -> DataFrame:
+    """Add the time and the features of the grid row nearest in time.
+
+    Of several grid rows at one time an observation at or after it takes the last, an earlier one the first.
+    """
+    row = F.struct(*[F.col(f) for f in features])
+    rows = grid.groupBy(F.col(grid_ts).cast("timestamp").alias("_at")).agg(
+        F.min_by(row, ordinal).alias("_head"), F.max_by(row, ordinal).alias("_tail"))
+    placed = asof_nearest_time(obs, grid, ts, grid_ts, unit).join(rows, F.col("snapshot_ts") == F.col("_at"), "left")
+    late = F.col(ts).cast("timestamp") >= F.col("snapshot_ts")
+    kept = [c for c in obs.columns if c not in features]
+    return placed.select(*kept, "snapshot_ts", *[
+        F.when(late, F.col(f"_tail.{f}")).otherwise(F.col(f"_head.{f}")).alias(f) for f in features])
+
+
 def align_hourly(obs: DataFrame, grid: DataFrame, features: Sequence[str], ts: str = "ts",
                  grid_ts: str = "grid_ts") -> DataFrame:
     """Mean of all grid rows in the observation's hour."""
@@ -80,7 +92,7 @@ def align_daily(obs: DataFrame, grid: DataFrame, features: Sequence[str], ts: st
 def _align_mean(obs, grid, features, ts, grid_ts, unit):
     means = grid.groupBy(F.date_trunc(unit, F.col(grid_ts)).alias("_at")).agg(*[F.avg(f).alias(f) for f in features])
     keyed = obs.withColumn("_at", F.date_trunc(unit, F.col(ts)))
-    return keyed.join(broadcast_if_small(means), "_at", "left").drop("_at")
+    return keyed.join(means, "_at", "left").drop("_at")
 
 
 def cell_day_means(grid: DataFrame, features: Sequence[str], grid_ts: str = "grid_ts",
