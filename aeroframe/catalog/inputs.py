@@ -143,8 +143,18 @@ SELECT l_suppkey AS station_id, CASE WHEN l_partkey % 19 = 0 THEN NULL ELSE l_qu
        l_extendedprice / 250 + l_quantity AS aqi
 FROM {lineitem}""",
     # a station's series with gaps
+    "v_training": """
+SELECT o_orderkey AS ordinal, CAST(o_orderdate AS TIMESTAMP) AS ts,
+       CASE WHEN o_custkey % 19 <> 0 THEN CAST(o_orderkey % 50 AS DOUBLE) * 8 END AS pm25,
+       CAST(o_totalprice AS DOUBLE) / 2000 AS pm10, CAST(o_custkey % 600 AS DOUBLE) AS no2,
+       CAST(o_orderkey * 13 % 1900 AS DOUBLE) AS so2, CAST(273 + o_custkey % 40 AS DOUBLE) AS temperature,
+       CAST(o_orderkey % 11 AS DOUBLE) * 9 AS relative_humidity,
+       CASE WHEN o_orderkey % 23 <> 0 THEN o_orderstatus END AS season,
+       CAST(o_totalprice AS DOUBLE) / 2500 + CAST(o_orderkey % 50 AS DOUBLE) AS aqi
+FROM {orders}""",
     "v_series": """
-SELECT event_id AS ordinal, user_id AS station_id, CAST(ts AS TIMESTAMP) AS ts,
+SELECT event_id AS ordinal, CASE WHEN event_id % 41 <> 0 THEN user_id END AS station_id,
+       CASE WHEN event_id % 43 <> 0 THEN CAST(ts AS TIMESTAMP) END AS ts,
        CASE WHEN event_id % 3 = 0 OR user_id % 29 = 0 THEN NULL ELSE value END AS pm25,
        CASE WHEN event_id % 5 < 3 THEN NULL ELSE value * 2 END AS temperature
 FROM {events}""",

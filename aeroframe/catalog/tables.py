@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F, types as T
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window, functions as F, types as T
 
 from aeroframe.catalog.registry import query, r, sql_r
 from aeroframe.operators import filters, ml, scoring, split
+from aeroframe.operators.sizes import attach_row
 from aeroframe.plans import flows
 from aeroframe.session import shared_dir
 from aeroframe.sources import readers, writers
@@ -37,7 +39,9 @@ def src_csv(t):
 def src_latest_snapshot(t):
     folder = _folder(t, "snapshots")
     writers.write_csv(t.v_raw.select("ordinal", "station", F.lit(0.0).alias("pm25"), "pm10", "no2"), f"{folder}/raw_0900")
-    writers.write_csv(t.v_raw.select(_RAW.names), f"{folder}/raw_1000")
+    # a snapshot with folders inside it
+    parts = t.v_raw.select(*_RAW.names, (F.col("ordinal") % 4).alias("part"))
+    parts.write.partitionBy("part").option("header", True).csv(f"{folder}/raw_1000")
     return readers.read_latest(t.spark, folder, "raw_*", _RAW, ["pm25", "pm10", "no2"])
 
 
@@ -45,17 +49,32 @@ _RECORD = T.StructType([T.StructField("station", T.StringType()), T.StructField(
                         T.StructField("pollutant_avg", T.DoubleType()), T.StructField("ordinal", T.LongType())])
 
 
-@query("src_json_pages", "SELECT ordinal, CAST(station_id AS VARCHAR) AS station, pollutant AS pollutant_id, value AS pollutant_avg FROM {v_obs_long}")
+@query("src_json_pages", """SELECT ordinal, CAST(station_id AS VARCHAR) AS station, pollutant AS pollutant_id, value AS pollutant_avg FROM {v_obs_long}
+ WHERE floor(ordinal / 500) % 7 <> 3""")
 def src_json_pages(t):
+    return readers.read_pages(t.spark, _pages(t), _RECORD, one_per_file=False).records.drop("page")
+
+
+@query("src_json_page_check", """WITH p AS (SELECT floor(ordinal / 500) AS page, count(*) AS n FROM {v_obs_long} GROUP BY 1)
+SELECT CASE WHEN page % 7 = 3 THEN 'unreadable' WHEN page % 5 = 2 THEN 'incomplete' ELSE 'complete' END AS state, count(*) AS n_pages,
+ CAST(sum(CASE WHEN page % 7 <> 3 THEN n ELSE 0 END) AS BIGINT) AS n_records FROM p GROUP BY 1""")
+def src_json_page_check(t):
+    checked = readers.read_pages(t.spark, _pages(t), _RECORD, one_per_file=False).pages
+    return checked.groupBy("state").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n_records").alias("n_records"))
+
+
+def _pages(t) -> str:
+    """Pages of at most 500 records; some announce more than they hold, some are broken."""
     path = _folder(t, "pages")
     record = F.struct(F.col("station_id").cast("string").alias("station"), F.col("pollutant").alias("pollutant_id"),
                       F.col("value").alias("pollutant_avg"), "ordinal")
-    # pages of the service hold at most 500 records
     pages = t.v_obs_long.groupBy(F.floor(F.col("ordinal") / 500).alias("page")).agg(
-        F.collect_list(record).alias("records"), F.count(F.lit(1)).alias("total"))
-    pages.drop("page").write.json(path)
-    good, _ = readers.read_pages(t.spark, path, _RECORD, one_per_file=False)
-    return good.drop("page")
+        F.collect_list(record).alias("records"), F.count(F.lit(1)).alias("n"))
+    total = F.col("n") + F.when(F.col("page") % 5 == 2, 1).otherwise(0)
+    text = F.to_json(F.struct("records", total.alias("total")))
+    broken = F.lit('{"records": "oops", "total": 500}')
+    pages.select(F.when(F.col("page") % 7 == 3, broken).otherwise(text).alias("value")).write.text(path)
+    return path
 
 
 @query("src_json_flatten", """SELECT event_id AS location_id, 'Place ' || user_id AS location, event_type AS parameter, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS value,
@@ -104,17 +123,18 @@ def sink_splits(t):
 # -- streams -----------------------------------------------------------------------------------------
 
 
-@query("stream_fire_timeline", f"""WITH h AS (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour_ts, count(value) AS n_fires, {sql_r('sum(value)', 3)} AS total_frp FROM events GROUP BY 1)
-SELECT * FROM h WHERE hour_ts + INTERVAL '1' HOUR <= (SELECT max(ts) FROM events) - INTERVAL '2' HOUR""")
+@query("stream_fire_timeline", f"""SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour_ts, count(value) AS n_fires, {sql_r('sum(value)', 3)} AS total_frp,
+ CAST(0 AS BIGINT) AS n_dropped FROM events WHERE ts IS NOT NULL GROUP BY 1""")
 def stream_fire_timeline(t):
     stream = jobs.read_stream(t.spark, t.folder, t.events.schema, "events.parquet")
     fires = stream.select(F.col("ts").cast("timestamp").alias("detected_at"), F.col("value").alias("frp"))
-    return jobs.run_available(jobs.fire_timeline_stream(fires), "fires").withColumn("total_frp", r("total_frp", 3))
+    done = jobs.run_available_keyed(jobs.fire_timeline_stream(fires), ["hour_ts"], _folder(t, "fires"))
+    return done.table.withColumns({"total_frp": r("total_frp", 3), "n_dropped": F.lit(done.dropped).cast("long")})
 
 
 @query("stream_clean", """WITH kept AS (SELECT event_id, user_id AS station_id, CAST(ts AS TIMESTAMP) AS ts, value AS pm25 FROM events WHERE event_id % 97 <> 0 OR value = 0),
 q AS (SELECT quantile_cont(pm25, 0.25) AS a, quantile_cont(pm25, 0.75) AS b FROM kept)
-SELECT event_id, station_id, ts, pm25, pm25 < a - 1.5 * (b - a) OR pm25 > b + 1.5 * (b - a) AS pm25_outlier, 'ug/m3' AS pm25_unit FROM kept, q""")
+SELECT event_id, station_id, ts, pm25, pm25 < a - 1.5 * (b - a) OR pm25 > b + 1.5 * (b - a) AS pm25_outlier, 'ug/m3' AS pm25_unit, CAST(0 AS BIGINT) AS n_dropped FROM kept, q""")
 def stream_clean(t):
     stream = jobs.read_stream(t.spark, t.folder, t.events.schema, "events.parquet")
     shaped = lambda df: df.select(
@@ -125,129 +145,156 @@ def stream_clean(t):
     fences = jobs.collect_fences(filters.drop_negative_rows(shaped(t.events), ["pm25"]), ["pm25"])
     # every row arrives twice: the second copy falls to the keyed de-duplication
     twice = readings.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-    return jobs.run_available(jobs.clean_stream(twice, "station_id", "ts", ["pm25"], fences), "clean")
+    done = jobs.run_available(jobs.clean_stream(twice, "station_id", "ts", ["pm25"], fences, "2 hours"), _folder(t, "clean"))
+    return done.table.withColumn("n_dropped", F.lit(done.dropped).cast("long"))
 
 
 # -- models --------------------------------------------------------------------------------------------
+# Fitted trees differ from engine to engine, so these queries show what must hold of any fit, next to
+# figures that both engines compute: row counts, split membership, feature values.
 
 _NUM = ["pm25", "pm10", "no2", "so2", "temperature", "relative_humidity"]
-_TREES, _DEPTH = 10, 5
+_FITTED: dict[tuple, object] = {}
+
+_HALVES = """ranked AS (SELECT *, row_number() OVER (ORDER BY ts, ordinal) AS rn, count(*) OVER () AS n FROM {v_training}),
+train AS (SELECT * FROM ranked WHERE rn <= floor(n * CAST(0.7 AS DOUBLE))),
+test AS (SELECT * FROM ranked WHERE rn > floor(n * CAST(0.7 AS DOUBLE)))"""
 
 
-def _table(t):
-    row = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return t.lineitem.select(
-        row.alias("row_id"), F.col("l_shipdate").cast("timestamp").alias("ts"),
-        F.when(F.col("l_partkey") % 19 != 0, F.col("l_quantity") * 8).alias("pm25"), (F.col("l_extendedprice") / 200).alias("pm10"),
-        (F.col("l_partkey") % 600).cast("double").alias("no2"), (F.col("l_orderkey") * 13 % 1900).cast("double").alias("so2"),
-        (F.lit(273) + F.col("l_quantity") + F.col("l_tax")).alias("temperature"), (F.col("l_discount") * 1000).alias("relative_humidity"),
-        F.col("l_linestatus").alias("season"), (F.col("l_extendedprice") / 250 + F.col("l_quantity")).alias("aqi"))
+def _once(t, name: str, make):
+    """One fit per session and input, shared by the queries that show different sides of it."""
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
 
 
 def _halves(t):
-    labelled = split.holdout_split(_table(t), "ts", "row_id")
+    labelled = split.holdout_split(t.v_training, "ts", "ordinal")
     return labelled.where("split = 'train'").drop("split"), labelled.where("split = 'test'").drop("split")
 
 
+def _flow(t):
+    return _once(t, "flow", lambda: flows.train_and_score(t.v_training, _NUM, "aqi", "ts", "ordinal"))
+
+
+def _forest(t):
+    return _once(t, "forest", lambda: ml.train_forest(_halves(t)[0], _NUM, "aqi", ["season"]))
+
+
 _SCALED = ("pm25", "pm10", "no2")
 
 
-@query("preprocess_features", """WITH x AS (SELECT CASE WHEN l_partkey % 19 <> 0 THEN l_quantity * 8 END AS pm25, l_extendedprice / 200 AS pm10, CAST(l_partkey % 600 AS DOUBLE) AS no2 FROM lineitem),
-m AS (SELECT """ + ", ".join(f"avg({c}) AS m_{c}" for c in _SCALED) + " FROM x) " + " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, {sql_r(f'avg({c})')} AS mean, {sql_r(f'sqrt(sum(pow(coalesce({c}, m_{c}) - m_{c}, 2)) / (count(*) - 1))')} AS std FROM x, m"
+@query("preprocess_features", "WITH m AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}" for c in _SCALED) + " FROM {v_training}) "
+       + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {sql_r(f'avg({c})')} AS mean, {sql_r(f'sqrt(sum(pow(coalesce({c}, m_{c}) - m_{c}, 2)) / (count(*) - 1))')} AS std FROM {{v_training}}, m"
     for c in _SCALED))
 def preprocess_features(t):
-    model = ml.fit_preprocessing(_table(t), ["pm25", "pm10", "no2"], ["season"])
-    out = ml.scaling_table(model, ["pm25", "pm10", "no2"], t.spark)
+    model = ml.fit_preprocessing(t.v_training, list(_SCALED), ["season"])
+    out = ml.scaling_table(model, list(_SCALED), t.spark)
     return out.withColumns({"mean": r("mean"), "std": r("std")})
 
 
-@query("train_random_forest")
+@query("preprocess_categories", """WITH top AS (SELECT season FROM {v_training} WHERE season IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, season LIMIT 1)
+SELECT coalesce(t.season, top.season) AS season, count(*) AS n FROM {v_training} t, top GROUP BY 1""")
+def preprocess_categories(t):
+    """Rows per category as the encoded vectors hold them: missing ones count for the most frequent."""
+    model = ml.fit_preprocessing(t.v_training, [], ["season"])
+    encoded = model.transform(t.v_training).select(vector_to_array("season_hot").alias("v"))
+    names = F.array(*[F.lit(n.removeprefix("season_")) for n in ml.feature_names(model)])
+    slot = F.array_position("v", 1.0)
+    return encoded.select(F.element_at(names, slot.cast("int")).alias("season")).groupBy("season").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("train_random_forest", f"WITH {_HALVES} SELECT count(*) AS n, TRUE AS beats_mean, TRUE AS fits FROM test")
 def train_random_forest(t):
-    model, metrics, _ = flows.train_and_score(_table(t), _NUM, "aqi", "ts", "row_id", _TREES, _DEPTH)
-    return metrics
+    _, metrics, scored = _flow(t)
+    spread = scored.agg(F.stddev_pop("aqi")).scalar()
+    return metrics.select("n", (F.col("rmse") < spread).alias("beats_mean"), (F.col("r2") > 0.9).alias("fits"))
 
 
-@query("batch_score")
+@query("batch_score", f"WITH {_HALVES} SELECT ordinal, {sql_r('aqi')} AS aqi, TRUE AS inside_labels FROM test")
 def batch_score(t):
-    _, _, scored = flows.train_and_score(_table(t), _NUM, "aqi", "ts", "row_id", _TREES, _DEPTH)
-    return scored.select("row_id", "aqi", "predicted")
+    _, _, scored = _flow(t)
+    seen = _halves(t)[0].agg(F.struct(F.min("aqi").alias("lo"), F.max("aqi").alias("hi")).alias("s"))
+    placed = attach_row(scored, seen.select("s.*"), "_seen")
+    return placed.select("ordinal", r("aqi").alias("aqi"), F.col("predicted").between(F.col("_seen.lo"), F.col("_seen.hi")).alias("inside_labels"))
 
 
-@query("sink_model")
+@query("sink_model", f"WITH {_HALVES} SELECT ordinal, TRUE AS same_prediction FROM test")
 def sink_model(t):
+    """Every prediction of the model that was saved and loaded again."""
     from pyspark.ml import PipelineModel
 
-    path = _folder(t, "model")
-    train, test = _halves(t)
-    model = ml.train_forest(train, _NUM, "aqi", ["season"], _TREES, _DEPTH)
+    path, model, (_, test) = _folder(t, "model"), _forest(t), _halves(t)
     scored = ml.score(model, test, _NUM)
-    table = ml.importances(model, model.transform(ml.as_doubles(train, _NUM)))
-    writers.save_model(model, path, scoring.regression_metrics(scored, actual="aqi"), table)
-    again = ml.score(PipelineModel.load(f"{path}/model"), test, _NUM)
-    return again.agg(F.count(F.lit(1)).alias("n"), F.avg("predicted").alias("mean_predicted"))
+    writers.save_model(model, path, scoring.regression_metrics(scored, actual="aqi"), ml.importances(model, t.spark))
+    again = ml.score(PipelineModel.load(f"{path}/model"), test, _NUM).select("ordinal", F.col("predicted").alias("loaded"))
+    return scored.join(again, "ordinal").select("ordinal", (F.col("predicted") == F.col("loaded")).alias("same_prediction"))
 
 
-def _importances(t):
-    train, _ = _halves(t)
-    model = ml.train_forest(train, _NUM, "aqi", ["season"], _TREES, _DEPTH)
-    return train, ml.importances(model, model.transform(ml.as_doubles(train, _NUM)))
+_SLOTS = "(SELECT DISTINCT 'season_' || season AS feature FROM {v_training} WHERE season IS NOT NULL UNION ALL SELECT unnest([" + ", ".join(
+    f"'{c}'" for c in [*_NUM, "season_unknown"]) + "]))"
 
 
-@query("topk_importance")
-def topk_importance(t):
-    return ml.top_importances(_importances(t)[1])
+@query("global_importance", f"SELECT feature, 'built_in_importance' AS method, TRUE AS in_range, TRUE AS sums_to_one FROM {_SLOTS}")
+def global_importance(t):
+    table = ml.importances(_forest(t), t.spark)
+    total = table.agg(F.sum("importance")).scalar()
+    return table.select("feature", "method", F.col("importance").between(0, 1).alias("in_range"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
 
 
-@query("global_importance")
-def global_importance(t):
-    return _importances(t)[1]
+@query("topk_importance", f"SELECT CAST(k AS INTEGER) AS rank, TRUE AS named, TRUE AS descending FROM range(1, (SELECT least(10, count(*)) FROM {_SLOTS}) + 1) g(k)")
+def topk_importance(t):
+    model = _forest(t)
+    top = ml.top_importances(ml.importances(model, t.spark))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("importance"), "feature")          # ten rows
+    return top.select(F.row_number().over(order).alias("rank"), F.col("feature").isin(ml.feature_names(model)).alias("named"),
+                      F.coalesce(F.lag("importance").over(order) >= F.col("importance"), F.lit(True)).alias("descending"))
 
 
-@query("local_contributions")
+@query("local_contributions", f"WITH {_HALVES}, long AS (" + " UNION ALL ".join(
+    f"SELECT ordinal, '{c}' AS feature, {c} AS v FROM train" for c in _NUM) + f""")
+SELECT ordinal, feature, {sql_r('v')} AS feature_value, 'global_importance' AS method, TRUE AS in_range FROM long""")
 def local_contributions(t):
-    train, table = _importances(t)
-    named = table.withColumn("feature", F.regexp_replace("feature", "^numeric_scaled_(\\d+)$", "$1"))
-    # position in the scaled vector to column name
-    names = F.array(*[F.lit(c) for c in _NUM])
-    named = named.withColumn("feature", F.when(F.col("feature").rlike("^\\d+$"), F.element_at(names, F.col("feature").try_cast("int") + 1)).otherwise(F.col("feature")))
-    return ml.local_contributions(train, named, _NUM, "row_id")
+    out = ml.local_contributions(_halves(t)[0], ml.importances(_forest(t), t.spark), _NUM, "ordinal")
+    return out.select("ordinal", "feature", r("feature_value").alias("feature_value"), "method", F.col("contribution").between(0, 1).alias("in_range"))
 
 
-def _small_models():
-    made = ml.regressors(n_trees=_TREES, depth=4)
-    made[ml.BOOSTED].setMaxIter(5)
-    return made
+_MODELS = ", ".join(f"('{m}')" for m in (ml.LINEAR, ml.FOREST, ml.EXTRA, ml.BOOSTED))
 
 
-@query("compare_models")
+@query("compare_models", f"SELECT model, TRUE AS fits, CAST(NULL AS VARCHAR) AS error FROM (VALUES {_MODELS}) m(model)")
 def compare_models(t):
     train, test = _halves(t)
-    return ml.compare_models(train, test, _NUM, "aqi", _small_models())
+    return ml.compare_models(train, test, _NUM, "aqi").select("model", (F.col("r2") > 0.5).alias("fits"), "error")
 
 
-@query("cross_validate")
+@query("cross_validate", f"SELECT model, CAST(k AS INTEGER) AS fold, TRUE AS fits FROM (VALUES {_MODELS}) m(model), range(1, 6) g(k)")
 def cross_validate(t):
-    models = {k: v for k, v in _small_models().items() if k in (ml.LINEAR, ml.FOREST)}
-    return ml.cross_validate(_table(t), _NUM, "aqi", "row_id", 3, models)
+    return ml.cross_validate(t.v_training, _NUM, "aqi", "ordinal").select("model", "fold", (F.col("r2") > 0.5).alias("fits"))
 
 
-@query("fold_sizes")
+@query("fold_sizes", """SELECT CAST(CAST('0x' || substr(md5(CAST(ordinal AS VARCHAR) || ':42'), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold, count(*) AS n,
+ sum(ordinal)::BIGINT AS ordinals FROM {v_training} GROUP BY 1""")
 def fold_sizes(t):
-    return ml.with_folds(_table(t), "row_id").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    return ml.with_folds(t.v_training, "ordinal").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("ordinal").alias("ordinals"))
 
 
-@query("tune_models")
+@query("tune_models", f"""SELECT model, CAST(n AS BIGINT) AS n_points, TRUE AS beats_mean FROM
+ (VALUES ('{ml.FOREST}', 6), ('{ml.EXTRA}', 6), ('{ml.BOOSTED}', 8)) m(model, n)""")
 def tune_models(t):
+    """The whole compact grid; the expanded one has 306 points."""
     train, _ = _halves(t)
     prep = ml.fit_preprocessing(train, _NUM)
     frame = prep.transform(ml.as_doubles(train, _NUM)).select("features", F.col("aqi").alias("label"))
-    small = {k: (est, [g for g in grid if all(v in (5, 10, 0.1, 3, "sqrt", 1) for v in g.values())]) for k, (est, grid) in ml.tuning_grids(100).items()}
-    return ml.tune_models(frame, small)
+    spread = frame.agg(F.stddev_pop("label")).scalar()
+    return ml.tune_models(frame, ml.tuning_grids("compact")).select("model", "n_points", (F.col("best_rmse") < spread).alias("beats_mean"))
 
 
-@query("model_flow")
+@query("model_flow", f"WITH {_HALVES} SELECT count(*) AS n, TRUE AS fits, TRUE AS unbiased FROM test")
 def model_flow(t):
-    model, metrics, scored = flows.train_and_score(_table(t), _NUM, "aqi", "ts", "row_id", _TREES, _DEPTH)
+    _, metrics, scored = _flow(t)
     residuals = scoring.residual_summary(scoring.with_residuals(scored, "aqi"))
-    return metrics.select("n", "r2", "rmse", "mbe").join(residuals.select("n", "mean_residual", "std_residual"), "n")
+    return metrics.select("n", "r2", "rmse").join(residuals.select("n", "mean_residual", "std_residual"), "n").select(
+        "n", (F.col("r2") > 0.9).alias("fits"), (F.abs("mean_residual") < F.col("rmse")).alias("unbiased"))

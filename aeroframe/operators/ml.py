@@ -6,12 +6,15 @@ from collections.abc import Sequence
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler,
+)
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aeroframe import values as V
 from aeroframe.operators.scoring import regression_metrics
@@ -36,7 +39,7 @@ def as_doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
-    """Most frequent category per column, smallest name on a tie (collects one row)."""
+    """Most frequent category per column, smallest name on a tie (collects one row per column)."""
     out = {}
     for c in columns:
         top = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(1).collect()
@@ -44,26 +47,38 @@ def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     return out
 
 
-def preprocessing_stages(numeric: Sequence[str], categorical: Sequence[str] = ()) -> list:
-    """Mean imputation and standardisation; one-hot encoding where an unknown category is all zeros."""
-    stages = []
+def _filling(modes: dict[str, str]) -> SQLTransformer:
+    """Stage that gives ``<column>_known`` with nulls replaced; it is saved with the pipeline."""
+    quoted = {c: "'" + m.replace("\\", "\\\\").replace("'", "\\'") + "'" for c, m in modes.items()}
+    columns = ", ".join(f"coalesce(`{c}`, {m}) AS `{c}_known`" for c, m in quoted.items())
+    return SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__")
+
+
+def preprocessing_stages(numeric: Sequence[str], modes: dict[str, str] | None = None) -> list:
+    """Mean imputation and standardisation of ``numeric``; most frequent value and one-hot encoding of the
+    categorical columns in ``modes``. A category not seen in training has a slot of its own.
+
+    The labels of a categorical column reach the driver, so it must have few distinct values.
+    """
+    stages, modes = [], modes or {}
     if numeric:
         filled = [f"{c}_filled" for c in numeric]
         stages += [
             Imputer(inputCols=list(numeric), outputCols=filled, strategy="mean"),
             VectorAssembler(inputCols=filled, outputCol="numeric_raw"),
             StandardScaler(inputCol="numeric_raw", outputCol="numeric_scaled", withMean=True, withStd=True)]
-    for c in categorical:
-        # 'keep' adds an unknown slot as the last index; dropLast turns it into the zero vector
-        stages += [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep", stringOrderType="alphabetAsc"),
+    if modes:
+        stages.append(_filling(modes))
+    for c in modes:
+        stages += [StringIndexer(inputCol=f"{c}_known", outputCol=f"{c}_index", handleInvalid="keep", stringOrderType="alphabetAsc"),
                    OneHotEncoder(inputCol=f"{c}_index", outputCol=f"{c}_hot", dropLast=True, handleInvalid="keep")]
-    inputs = (["numeric_scaled"] if numeric else []) + [f"{c}_hot" for c in categorical]
+    inputs = (["numeric_scaled"] if numeric else []) + [f"{c}_hot" for c in modes]
     return stages + [VectorAssembler(inputCols=inputs, outputCol="features")]
 
 
 def fit_preprocessing(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> PipelineModel:
     with held(as_doubles(train.select(*numeric, *categorical), numeric)) as rows:
-        return Pipeline(stages=preprocessing_stages(numeric, categorical)).fit(rows)
+        return Pipeline(stages=preprocessing_stages(numeric, most_frequent(rows, categorical))).fit(rows)
 
 
 def scaling_table(model: PipelineModel, numeric: Sequence[str], spark) -> DataFrame:
@@ -90,57 +105,82 @@ def regressors(label: str = "label", n_trees: int = 100, depth: int = 8) -> dict
 
 def train_forest(train: DataFrame, numeric: Sequence[str], target: str, categorical: Sequence[str] = (),
                  n_trees: int = 100, depth: int = 12) -> PipelineModel:
-    stages = preprocessing_stages(numeric, categorical) + [forest(n_trees, depth, label=target)]
     with held(as_doubles(train.select(*numeric, *categorical, target), numeric)) as rows:
-        return Pipeline(stages=stages).fit(rows)
+        stages = preprocessing_stages(numeric, most_frequent(rows, categorical))
+        return Pipeline(stages=[*stages, forest(n_trees, depth, label=target)]).fit(rows)
+
 
+def feature_names(model: PipelineModel) -> list[str]:
+    """Names of the feature vector's slots: numeric columns, then ``<column>_<label>`` per category."""
+    names = []
+    for stage in model.stages:
+        if isinstance(stage, VectorAssembler) and stage.getOutputCol() == "numeric_raw":
+            names += [c.removesuffix("_filled") for c in stage.getInputCols()]
+        elif isinstance(stage, StringIndexerModel):
+            # the encoder's slot behind the labels is for categories that training did not see
+            names += [f"{stage.getInputCol().removesuffix('_known')}_{x}" for x in [*stage.labels, "unknown"]]
+    return names
 
-def importances(model: PipelineModel, frame: DataFrame) -> DataFrame:
-    """(feature, importance) by encoded column name, from the vector's own metadata."""
-    tree = model.stages[-1]
-    attrs = frame.schema["features"].metadata["ml_attr"]["attrs"]
-    names = {a["idx"]: a["name"] for group in attrs.values() for a in group}
-    values = tree.featureImportances.toArray()
-    rows = [(names.get(i, f"feature_{i}"), float(v)) for i, v in enumerate(values)]
-    return frame.sparkSession.createDataFrame(rows, "feature string, importance double")
+
+def importances(model: PipelineModel, spark: SparkSession) -> DataFrame:
+    """(feature, importance, method) of a fitted tree pipeline, by column name."""
+    values = model.stages[-1].featureImportances.toArray()
+    names = feature_names(model)
+    if len(names) != len(values):
+        raise ValueError(f"{len(values)} importances for {len(names)} feature names")
+    rows = [(n, float(v), "built_in_importance") for n, v in zip(names, values)]
+    return spark.createDataFrame(rows, "feature string, importance double, method string")
 
 
 def top_importances(table: DataFrame, k: int = 10) -> DataFrame:
     return table.orderBy(F.desc("importance"), "feature").limit(k)
 
 
-def local_contributions(rows: DataFrame, table: DataFrame, columns: Sequence[str], ordinal: str, k: int = 5) -> DataFrame:
-    """First ``k`` rows by feature: value and normalised global importance as its contribution."""
+def local_contributions(rows: DataFrame, table: DataFrame, columns: Sequence[str], ordinal: str) -> DataFrame:
+    """Per row of ``rows`` and feature: value, contribution and the method that gave it.
+
+    The contribution is the feature's share of the global importance, the same for every row: exact tree
+    attributions are not built. One importance per column, so the table is a literal in the plan.
+    """
     total = table.agg(F.sum("importance").alias("t")).scalar()
     share = table.select("feature", F.when(total > 0, F.col("importance") / total).otherwise(
-        F.col("importance")).alias("contribution"))
-    sample = rows.orderBy(ordinal).limit(k).select(ordinal, *[F.col(c).cast("double").alias(c) for c in columns])
-    return sample.unpivot([ordinal], list(columns), "feature", "feature_value").join(F.broadcast(share), "feature")
+        F.col("importance")).alias("contribution"), F.lit("global_importance").alias("method"))
+    values = rows.select(ordinal, *[F.col(c).cast("double").alias(c) for c in columns])
+    long = values.unpivot([ordinal], list(columns), "feature", "feature_value")
+    return long.join(F.broadcast(share), "feature")         # one row per encoded column
+
+
+# what an estimator raises for an input it cannot fit; anything else is a failure of the run
+_UNFIT = (ValueError, AnalysisException, IllegalArgumentException)
 
 
 def compare_models(train: DataFrame, validation: DataFrame, numeric: Sequence[str], target: str,
                    models: dict[str, object] | None = None) -> DataFrame:
-    """Fit each model on train and measure it on validation; a failing model has null metrics."""
-    spark = train.sparkSession
+    """Fit each model on train and measure it on validation (an action).
+
+    A model that cannot take the input has null metrics and the reason in ``error``; other errors are raised.
+    """
     prep = fit_preprocessing(train, numeric)
-    fit_on = prep.transform(as_doubles(train, numeric)).select("features", F.col(target).cast("double").alias("label"))
-    judge_on = prep.transform(as_doubles(validation, numeric)).select("features", F.col(target).cast("double").alias("label"))
-    rows = None
-    with held(fit_on):
+
+    def ready(df: DataFrame) -> DataFrame:
+        return prep.transform(as_doubles(df, numeric)).select("features", F.col(target).cast("double").alias("label"))
+
+    rows = []
+    with held(ready(train)) as fit_on, held(ready(validation)) as judge_on:
         for name, model in (models or regressors()).items():
             try:
                 scored = model.fit(fit_on).transform(judge_on).withColumnsRenamed({"label": "actual", "prediction": "predicted"})
-                part = regression_metrics(scored).select(F.lit(name).alias("model"), "rmse", "mae", "r2")
-            except Exception:                               # noqa: BLE001 - a failing model is a result
-                part = spark.range(1).select(F.lit(name).alias("model"), *[
-                    F.lit(None).cast("double").alias(m) for m in ("rmse", "mae", "r2")])
-            rows = part if rows is None else rows.unionByName(part)
-    return rows
+                got = regression_metrics(scored).first()
+                rows.append((name, got["rmse"], got["mae"], got["r2"], None))
+            except _UNFIT as e:
+                rows.append((name, None, None, None, str(e).split("\n")[0]))
+    return train.sparkSession.createDataFrame(rows, "model string, rmse double, mae double, r2 double, error string")
 
 
 def with_folds(df: DataFrame, row_id: str, k: int = 5, seed: int = V.SEED) -> DataFrame:
     """Deterministic fold number per row, without a shuffle."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(k)).cast("int"))
+    digest = F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.lit(str(seed))).cast("binary"))
+    return df.withColumn("fold", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % k).cast("int"))
 
 
 def cross_validate(df: DataFrame, numeric: Sequence[str], target: str, row_id: str, k: int = 5,
@@ -153,17 +193,19 @@ def cross_validate(df: DataFrame, numeric: Sequence[str], target: str, row_id: s
         train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
         scores = compare_models(train, test, numeric, target, models)
         part = scores.select(
-            "model", F.lit(fold + 1).alias("fold"), F.coalesce("rmse", F.lit(float("inf"))).alias("rmse"),
+            "model", F.lit(fold + 1).alias("fold"), "error", F.coalesce("rmse", F.lit(float("inf"))).alias("rmse"),
             F.coalesce("mae", F.lit(float("inf"))).alias("mae"), F.coalesce("r2", F.lit(float("-inf"))).alias("r2"))
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
 
-def tuning_grids(n_rows: int, label: str = "label") -> dict[str, tuple[object, list]]:
-    """Parameter grids: a compact one below 100 rows, the expanded one above."""
+def tuning_grids(size: str = "expanded", label: str = "label") -> dict[str, tuple[object, list]]:
+    """Parameter grids by name: ``compact`` for a quick search, ``expanded`` for a full one."""
+    if size not in ("compact", "expanded"):
+        raise ValueError(f"unknown grid: {size}")
     rf, gbt = forest(label=label), GBTRegressor(labelCol=label, seed=V.SEED)
     extra = forest(label=label).setBootstrap(False)
-    small = n_rows < 100
+    small = size == "compact"
 
     def trees(est):
         grid = ParamGridBuilder().addGrid(est.numTrees, [10, 50] if small else [10, 50, 100])
@@ -184,26 +226,28 @@ def tuning_grids(n_rows: int, label: str = "label") -> dict[str, tuple[object, l
 
 def tune_models(frame: DataFrame, grids: dict[str, tuple[object, list]], folds: int = 3,
                 parallelism: int = 4) -> DataFrame:
-    """Best cross-validated rmse per model and the winning parameters (``frame``: features, label)."""
-    spark = frame.sparkSession
+    """Best cross-validated rmse per model, the winning parameters and the points searched (an action).
+
+    ``frame``: features, label. A model that cannot take the input has an infinite rmse and an ``error``.
+    """
     rows = []
-    for name, (est, grid) in grids.items():
-        try:
-            cv = CrossValidator(estimator=est, estimatorParamMaps=grid, numFolds=folds, parallelism=parallelism,
-                                evaluator=RegressionEvaluator(metricName="rmse"), seed=V.SEED)
-            with held(frame):
-                cv = cv.fit(frame)
-            best = min(range(len(grid)), key=lambda i: cv.avgMetrics[i])
-            chosen = {p.name: v for p, v in grid[best].items()}
-            rows.append((name, float(cv.avgMetrics[best]), str(dict(sorted(chosen.items())))))
-        except Exception:                                   # noqa: BLE001 - a failing model is a result
-            rows.append((name, float("inf"), "{}"))
-    return spark.createDataFrame(rows, "model string, best_rmse double, best_params string")
+    with held(frame):
+        for name, (est, grid) in grids.items():
+            try:
+                cv = CrossValidator(estimator=est, estimatorParamMaps=grid, numFolds=folds, parallelism=parallelism,
+                                    evaluator=RegressionEvaluator(metricName="rmse"), seed=V.SEED).fit(frame)
+                best = min(range(len(grid)), key=lambda i: cv.avgMetrics[i])
+                chosen = {p.name: v for p, v in grid[best].items()}
+                rows.append((name, float(cv.avgMetrics[best]), str(dict(sorted(chosen.items()))), len(cv.avgMetrics), None))
+            except _UNFIT as e:
+                rows.append((name, float("inf"), "{}", 0, str(e).split("\n")[0]))
+    return frame.sparkSession.createDataFrame(
+        rows, "model string, best_rmse double, best_params string, n_points long, error string")
 
 
 def score(model: PipelineModel, df: DataFrame, numeric: Sequence[str]) -> DataFrame:
     """Score a table with the imputation fitted in training."""
-    helpers = ("_filled", "_index", "_hot")
+    helpers = ("_filled", "_known", "_index", "_hot")
     scored = model.transform(as_doubles(df, numeric)).withColumnRenamed("prediction", "predicted")
     drop = [c for c in scored.columns if c.endswith(helpers) or c in ("numeric_raw", "numeric_scaled", "features")]
     return scored.drop(*drop)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from fnmatch import fnmatch
+from typing import NamedTuple
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 CORRUPT = "_corrupt_record"
@@ -20,20 +20,27 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, numeric: Sequ
 
 
 def newest_snapshot(spark: SparkSession, folder: str, pattern: str) -> str | None:
-    """Newest file or folder matching the pattern, greatest name on a tie; None when nothing matches.
+    """Newest file or folder directly below ``folder`` that matches the pattern; None when nothing matches.
 
-    An action over the file listing only: the content column is never read.
+    A folder is as new as the newest file anywhere below it; the greatest name wins a tie. An action over
+    the file listing only: the content column is never read.
     """
-    try:
-        listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/{pattern}")
-        top = listing.agg(F.max(F.struct("modificationTime", "path")).alias("m")).select("m.path").collect()
-    except AnalysisException:                    # no file matches
+    if not _matches(spark, f"{folder}/{pattern}"):
         return None
-    if not top or top[0][0] is None:
-        return None
-    path = top[0][0]
-    parent = path.rsplit("/", 1)[0]
-    return parent if fnmatch(parent.rsplit("/", 1)[1], pattern) else path
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/{pattern}")
+    # paths come back qualified: the snapshot is the component behind the folder's own last one
+    root = folder.rstrip("/").rsplit("/", 1)[-1]
+    name = F.regexp_extract("path", f"^(.*?/{re.escape(root)}/[^/]+)", 1)
+    depth = F.substring_index(name, "/", -1)
+    found = listing.select(name.alias("snapshot"), depth.alias("name"), "modificationTime").where(F.col("name") != "")
+    top = found.agg(F.max(F.struct("modificationTime", "name")).alias("m")).select("m.name").collect()
+    return None if top[0][0] is None else f"{folder.rstrip('/')}/{top[0][0]}"
+
+
+def _matches(spark: SparkSession, glob: str) -> bool:
+    """Whether any path matches; permission and other errors are raised, not taken for absence."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
 
 
 def first_existing(spark: SparkSession, folder: str, names: Sequence[str]) -> str | None:
@@ -51,16 +58,27 @@ def read_latest(spark: SparkSession, folder: str, pattern: str, schema: T.Struct
     return None if path is None else read_csv(spark, path, schema, numeric)
 
 
-def read_pages(spark: SparkSession, path: str, record: T.StructType, one_per_file: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Records of all ``{records: [...], total}`` pages, and the pages that could not be read."""
+class Pages(NamedTuple):
+    """Records of all readable pages; every page with its state, announced total and records found."""
+
+    records: DataFrame
+    pages: DataFrame
+
+
+def read_pages(spark: SparkSession, path: str, record: T.StructType, one_per_file: bool = True) -> Pages:
+    """Read pages of the form ``{records: [...], total}``.
+
+    A page is ``unreadable`` (no list of records), ``incomplete`` (fewer records than its total) or ``complete``.
+    """
     schema = T.StructType([
         T.StructField("records", T.ArrayType(record)), T.StructField("total", T.LongType()),
         T.StructField(CORRUPT, T.StringType())])
     pages = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).json(path, multiLine=one_per_file)
     tagged = pages.withColumn("page", F.input_file_name())
-    good = tagged.where(F.col("records").isNotNull()).select("page", F.explode("records").alias("r")).select("page", "r.*")
-    bad = tagged.where(F.col("records").isNull()).select("page", CORRUPT)
-    return good, bad
+    records = tagged.where(F.col("records").isNotNull()).select("page", F.explode("records").alias("r")).select("page", "r.*")
+    found = F.coalesce(F.when(F.col("records").isNotNull(), F.size("records")), F.lit(0)).cast("long")
+    state = (F.when(F.col("records").isNull(), "unreadable").when(found < F.col("total"), "incomplete").otherwise("complete"))
+    return Pages(records, tagged.select("page", state.alias("state"), "total", found.alias("n_records"), CORRUPT))
 
 
 MEASUREMENT = T.StructType([

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from aeroframe.operators.clean import is_outlier, outlier_fences
 from aeroframe.operators.columns import attach_units
 from aeroframe.operators.filters import drop_negative_rows
-from aeroframe.session import shared_dir
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet",
@@ -28,10 +28,11 @@ def collect_fences(table: DataFrame, columns: Sequence[str]) -> dict[str, tuple[
 
 
 def clean_stream(stream: DataFrame, station: str, ts: str, columns: Sequence[str],
-                 fences: dict[str, tuple[float | None, float | None]] | None = None, delay: str = "2 hours") -> DataFrame:
+                 fences: dict[str, tuple[float | None, float | None]] | None, delay: str) -> DataFrame:
     """Keyed de-duplication inside the watermark, negatives out, outliers flagged, units attached.
 
-    Outlier fences come from a finished table: quantiles cannot be kept incrementally.
+    Outlier fences come from a finished table: quantiles cannot be kept incrementally. Rows later than
+    ``delay`` are dropped; ``Finished.dropped`` counts them.
     """
     once = stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([station, ts])
     kept = drop_negative_rows(once, columns)
@@ -42,20 +43,49 @@ def clean_stream(stream: DataFrame, station: str, ts: str, columns: Sequence[str
     return attach_units(kept.withColumns(flags) if flags else kept)
 
 
-def fire_timeline_stream(fires: DataFrame, ts: str = "detected_at", delay: str = "2 hours") -> DataFrame:
-    """Fires and their power per hour; an hour is emitted once the watermark has passed it."""
-    hours = fires.withWatermark(ts, delay).groupBy(F.window(ts, "1 hour")).agg(
+def fire_timeline_stream(fires: DataFrame, ts: str = "detected_at") -> DataFrame:
+    """Fires and their power per hour, as running totals: to be run in update mode.
+
+    No watermark: an hour is never closed, so no fire comes too late. The state is one row per hour.
+    """
+    hours = fires.where(F.col(ts).isNotNull()).groupBy(F.window(ts, "1 hour")).agg(
         F.count("frp").alias("n_fires"), F.sum("frp").alias("total_frp"))
     return hours.select(F.col("window.start").alias("hour_ts"), "n_fires", "total_frp")
 
 
-def run_available(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """Process everything available, then stop; the result is a table in the shared folder."""
-    spark = stream.sparkSession
-    base = folder or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+@dataclass(frozen=True)
+class Finished:
+    """Result table of a finished run and how many rows its watermark dropped."""
+
+    table: DataFrame
+    dropped: int
+
+
+def _dropped(query: StreamingQuery) -> int:
+    return sum(int(s.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for s in p["stateOperators"])
+
+
+def run_available(stream: DataFrame, folder: str) -> Finished:
+    """Process everything available, then stop; appended rows are a table in ``folder``, which the caller owns."""
     query = (stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-             .option("checkpointLocation", f"{base}/state").start(f"{base}/table"))
+             .option("checkpointLocation", f"{folder}/state").start(f"{folder}/table"))
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/table")
+    return Finished(stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table"), _dropped(query))
+
 
+def run_available_keyed(stream: DataFrame, keys: Sequence[str], folder: str) -> Finished:
+    """The same for running totals: each batch writes the keys it touched, the newest batch of a key counts.
 
+    A batch that is tried again writes the same folder again, so nothing counts twice.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+
+    query = (stream.writeStream.outputMode("update").trigger(availableNow=True)
+             .option("checkpointLocation", f"{folder}/state").foreachBatch(write).start())
+    query.awaitTermination()
+    spark, schema = stream.sparkSession, T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    written = spark.read.schema(schema).option("basePath", f"{folder}/table").parquet(f"{folder}/table")
+    values = [c for c in stream.columns if c not in keys]
+    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return Finished(newest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values]), _dropped(query))

@@ -1,6 +1,7 @@
 """Streams against their batch form, models end to end, and plan shapes."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,13 +16,29 @@ def test_late_rows_and_repeats(spark, tmp_path):
     folder = str(tmp_path / "in")
     first = spark.sql("select * from values (1, 7, timestamp'2024-01-01 00:10:00', 5.0D), (2, 7, timestamp'2024-01-01 00:10:00', 6.0D), (3, 8, timestamp'2024-01-01 09:00:00', -1.0D) t(id, station_id, ts, pm25)")
     first.coalesce(1).write.parquet(folder)
-    second = spark.sql("select * from values (4, 9, timestamp'2024-01-01 00:20:00', 8.0D), (5, 8, timestamp'2024-01-01 12:00:00', 200.0D) t(id, station_id, ts, pm25)")
-    second.coalesce(1).write.mode("append").parquet(folder)
+    # a batch drops what was late for the batch before it: the late row comes third
+    for values in ("(5, 8, timestamp'2024-01-01 12:00:00', 200.0D)", "(4, 9, timestamp'2024-01-01 00:20:00', 8.0D)"):
+        time.sleep(1.1)                                       # files are read in the order of their seconds
+        spark.sql(f"select * from values {values} t(id, station_id, ts, pm25)").coalesce(1).write.mode("append").parquet(folder)
     stream = jobs.read_stream(spark, folder, first.schema, files_per_batch=1)
-    out = jobs.run_available(jobs.clean_stream(stream, "station_id", "ts", ["pm25"], {"pm25": (0.0, 100.0)}), "t", str(tmp_path / "out")).collect()
+    done = jobs.run_available(jobs.clean_stream(stream, "station_id", "ts", ["pm25"], {"pm25": (0.0, 100.0)}, "2 hours"), str(tmp_path / "out"))
+    out = done.table.collect()
     stations = sorted(r.station_id for r in out)
     assert stations.count(7) == 1 and 8 in stations          # repeat dropped, negative dropped
     assert {r.pm25_outlier for r in out if r.station_id == 8} == {True}
+    assert done.dropped == 1 and 9 not in stations           # the late row is counted
+
+
+def test_timeline_has_every_hour_whatever_the_files(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    hours = [5, 0, 9, 2, 5, 1, 0, 9]
+    for i, h in enumerate(hours):                            # one file each, out of order
+        spark.sql(f"select timestamp'2024-01-01 {h:02d}:10:00' as detected_at, {i}.0D as frp").coalesce(1).write.mode("append").parquet(folder)
+    stream = jobs.read_stream(spark, folder, spark.read.parquet(folder).schema, files_per_batch=1)
+    done = jobs.run_available_keyed(jobs.fire_timeline_stream(stream), ["hour_ts"], str(tmp_path / "out"))
+    got = {r.hour_ts.hour: (r.n_fires, r.total_frp) for r in done.table.collect()}
+    assert got == {h: (hours.count(h), float(sum(i for i, x in enumerate(hours) if x == h))) for h in set(hours)}
+    assert done.dropped == 0
 
 
 def test_forest_round_trip(spark, tmp_path):
@@ -32,7 +49,8 @@ def test_forest_round_trip(spark, tmp_path):
     model = ml.train_forest(df, ["temperature", "aod"], "aqi", ["season"], n_trees=5, depth=4)
     scored = ml.score(model, df, ["temperature", "aod"])
     assert scored.columns == [*df.columns, "predicted"]
-    table = ml.importances(model, model.transform(ml.as_doubles(df, ["temperature", "aod"])))
+    table = ml.importances(model, spark)
+    assert {r.feature for r in table.collect()} == {"temperature", "aod", "season_Monsoon", "season_Winter", "season_unknown"}
     top = ml.top_importances(table).collect()
     assert [r.importance for r in top] == sorted((r.importance for r in top), reverse=True)
     writers.save_model(model, str(tmp_path), scoring.regression_metrics(scored, actual="aqi"), table)
@@ -45,18 +63,52 @@ def test_forest_round_trip(spark, tmp_path):
 def test_failing_model_is_reported(spark):
     class Broken:
         def fit(self, _):
-            raise RuntimeError("no")
+            raise ValueError("no")
+
+    class Lost:
+        def fit(self, _):
+            raise RuntimeError("executor lost")
 
     df = spark.createDataFrame([(float(i), float(i)) for i in range(10)], "x double, y double")
     rows = ml.compare_models(df, df, ["x"], "y", {"broken": Broken(), ml.LINEAR: ml.regressors()[ml.LINEAR]}).collect()
     got = {r.model: r for r in rows}
-    assert got["broken"].rmse is None and got[ml.LINEAR].r2 == pytest.approx(1.0)
+    assert got["broken"].rmse is None and got["broken"].error == "no" and got[ml.LINEAR].r2 == pytest.approx(1.0)
+    with pytest.raises(RuntimeError):
+        ml.compare_models(df, df, ["x"], "y", {"lost": Lost()})
+
+
+def test_missing_category_is_the_most_frequent(spark):
+    rows = [(1.0, "it's"), (2.0, "it's"), (3.0, "b"), (4.0, None)]
+    df = spark.createDataFrame(rows, "x double, season string")
+    model = ml.fit_preprocessing(df, ["x"], ["season"])
+    assert ml.feature_names(model) == ["x", "season_b", "season_it's", "season_unknown"]
+    vectors = [r.features.toArray()[1:].tolist() for r in model.transform(ml.as_doubles(df, ["x"])).orderBy("x").collect()]
+    assert vectors == [[0, 1, 0], [0, 1, 0], [1, 0, 0], [0, 1, 0]]
+
+
+def test_selection_takes_a_fitted_importance_table(spark):
+    from aeroframe.plans import flows
+
+    rows = [(float(i), float((i * 7) % 11), float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "pm25 double, pm10 double, aqi double")
+    model = ml.train_forest(df, ["pm25", "pm10"], "aqi", n_trees=5, depth=4)
+    got = {r.feature: r.importance for r in flows.feature_selection(df, ["pm25", "pm10"], "aqi", ml.importances(model, spark)).collect()}
+    assert got["pm25"] > got["pm10"] and sum(got.values()) == pytest.approx(1.0)
+
+
+def test_contributions_of_every_row(spark):
+    df = spark.range(40).select("id", F.col("id").cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    table = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "feature string, importance double")
+    out = ml.local_contributions(df, table, ["a", "b"], "id").collect()
+    assert len(out) == 80 and {(r.feature, r.contribution) for r in out} == {("a", 0.75), ("b", 0.25)}
 
 
 def test_folds_and_grids(spark):
     folded = ml.with_folds(spark.range(1000), "id", 5)
     assert folded.groupBy("fold").count().count() == 5
-    assert len(ml.tuning_grids(50)[ml.FOREST][1]) == 6 and len(ml.tuning_grids(500)[ml.BOOSTED][1]) == 162
+    assert len(ml.tuning_grids("compact")[ml.FOREST][1]) == 6 and len(ml.tuning_grids()[ml.BOOSTED][1]) == 162
+    with pytest.raises(ValueError):
+        ml.tuning_grids("huge")
 
 
 ROW_SCALE = ["station_day_index", "aqi_overall", "clean_flow", "asof_nearest_time", "nearest_grid_cell", "attach_grid_features",

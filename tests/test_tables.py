@@ -59,9 +59,19 @@ def test_latest_snapshot_and_none(spark, tmp_path):
 def test_pages_and_broken_page(spark, tmp_path):
     (tmp_path / "p1.json").write_text(json.dumps({"records": [{"s": "a"}, {"s": "b"}], "total": 2}))
     (tmp_path / "p2.json").write_text(json.dumps({"records": "oops", "total": 2}))
-    good, bad = readers.read_pages(spark, str(tmp_path), T.StructType([T.StructField("s", T.StringType())]))
-    assert sorted(r.s for r in good.collect()) == ["a", "b"]
-    assert bad.count() == 1
+    (tmp_path / "p3.json").write_text(json.dumps({"records": [{"s": "c"}], "total": 3}))
+    got = readers.read_pages(spark, str(tmp_path), T.StructType([T.StructField("s", T.StringType())]))
+    assert sorted(r.s for r in got.records.collect()) == ["a", "b", "c"]
+    assert sorted((r.state, r.n_records) for r in got.pages.collect()) == [("complete", 2), ("incomplete", 1), ("unreadable", 0)]
+
+
+def test_snapshot_with_folders_inside(spark, tmp_path):
+    schema = T.StructType([T.StructField("v", T.LongType())])
+    spark.range(100).toDF("v").write.option("header", True).csv(str(tmp_path / "raw_0900"))
+    rows = spark.range(1000).select(F.col("id").alias("v"), (F.col("id") % 4).alias("p"))
+    rows.write.partitionBy("p").option("header", True).csv(str(tmp_path / "raw_1000"))
+    assert readers.newest_snapshot(spark, str(tmp_path), "raw_*") == f"{tmp_path}/raw_1000"
+    assert readers.read_latest(spark, str(tmp_path), "raw_*", schema).count() == 1000
 
 
 def test_cube_order(spark):
