@@ -51,6 +51,20 @@ def test_unknown_strategy(series):
     assert fill.apply_strategy(series[1], "leave_missing", ["x"]) is series[1]
 
 
+def test_large_offset_and_small_spread_are_cut_finely(spark):
+    """No step ranks more than a bounded number of buckets, and the last one few distinct values."""
+    n = 200_000
+    base = spark.range(n).select((F.lit(101_325.0) + (F.col("id") * 7919 % n) / n * 0.2 - 0.1).alias("x"))
+    got = {r.probability: r.value for r in orderstat.exact_quantiles(base, ["x"], [0.25, 0.5]).collect()}
+    values = np.sort(np.array([101_325.0 + i / n * 0.2 - 0.1 for i in range(n)]))
+    assert got[0.25] == pytest.approx(np.quantile(values, 0.25), abs=1e-9) and got[0.5] == pytest.approx(np.quantile(values, 0.5), abs=1e-9)
+    buckets = base.select(orderstat.magnitude_bucket(F.col("x")).alias("b"), "x")
+    hot = buckets.groupBy("b").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count_distinct("x").alias("n")).orderBy(F.desc("n")).first()
+    assert hot["n"] > n / 4                                   # magnitude alone does not separate them
+    step = F.floor((F.col("x") - hot["lo"]) / (hot["hi"] - hot["lo"]) * orderstat.EVEN_STEPS)
+    assert buckets.where(F.col("b") == hot["b"]).groupBy(step).agg(F.count_distinct("x").alias("n")).agg(F.max("n")).first()[0] <= 2 * n / orderstat.EVEN_STEPS
+
+
 def test_quantiles_of_awkward_values(spark):
     values = [0.0, -0.0, 1e-300, -1e-300, 1e300, -5.5, 3.0, 3.0, 3.0, 3.0, 2 ** 53 + 1.0, 7.25, -1e-9] + [42.0] * 50
     df = spark.createDataFrame([(v,) for v in values], "x double")
