@@ -43,13 +43,21 @@ def rename_station_columns(df: DataFrame) -> DataFrame:
 
 
 def ensure_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Exactly the columns of ``schema``, in order; absent ones are null."""
+    """Exactly the columns of ``schema``, in order; absent ones and values that cannot be cast are null."""
     present = set(df.columns)
     return df.select([
-        (F.col(f"`{f.name}`").cast(f.dataType) if f.name in present else F.lit(None).cast(f.dataType)).alias(f.name)
+        (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in present else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in schema])
 
 
+def cast_failures(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """One row: per column of ``schema`` that is present, the values that ``ensure_columns`` makes null."""
+    present = set(df.columns)
+    return df.agg(*[
+        F.count_if(F.col(f"`{f.name}`").isNotNull() & F.col(f"`{f.name}`").try_cast(f.dataType).isNull()).alias(f.name)
+        for f in schema if f.name in present])
+
+
 def align_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns of another table: absent ones are 0.0, extra ones are dropped."""
     present = set(df.columns)

@@ -67,8 +67,8 @@ def band_mean_grid(pixels: DataFrame, band: str, start: Column, end: Column, ts:
 def merge_products(products: Sequence[DataFrame], bands: Sequence[str]) -> DataFrame:
     """All products on (timestamp, latitude, longitude) rounded to a tenth; absent bands are null.
 
-    One union and one aggregation stand for a chain of full outer joins. Exact when a product has one
-    row per key; a repeated key keeps its largest value.
+    One union and one aggregation stand for a chain of full outer joins. Pixels of a product that round to
+    one key are averaged, so no value is lost and pixels of different products never multiply.
     """
     stacked = None
     for p in products:
@@ -76,7 +76,7 @@ def merge_products(products: Sequence[DataFrame], bands: Sequence[str]) -> DataF
             "timestamp", tenth_degree(F.col("latitude")).alias("latitude"), tenth_degree(F.col("longitude")).alias("longitude"),
             *[F.col(b) if b in p.columns else F.lit(None).cast("double").alias(b) for b in bands])
         stacked = part if stacked is None else stacked.unionByName(part)
-    return stacked.groupBy("timestamp", "latitude", "longitude").agg(*[F.max(b).alias(b) for b in bands])
+    return stacked.groupBy("timestamp", "latitude", "longitude").agg(*[F.avg(b).alias(b) for b in bands])
 
 
 def daily_cell_means(hourly: DataFrame, bands: Sequence[str], cell: Sequence[str], ts: str = "ts",

@@ -156,10 +156,6 @@ def collinear_pairs(matrix: DataFrame, ranking: DataFrame, threshold: float = 0.
         F.when(keep_a, F.col("feature_b")).otherwise(F.col("feature_a")).alias("drop"))
 
 
-def low_performers(ranking: DataFrame) -> DataFrame:
-    return ranking.where((F.col("importance") == 0) & (F.col("abs_r") < 0.1))
-
-
 def collect_collinear_drops(df: DataFrame, columns: Sequence[str], target: str | None = None,
                             threshold: float = 0.95) -> list[str]:
     """Greedy pruning in column order (an action: collects the small matrix).

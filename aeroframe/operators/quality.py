@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -20,6 +21,23 @@ def _text(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
 
 
+_DISTANCES = {"satellite_distance": "satellite_match_distance_km", "era5_distance": "era5_match_distance_km"}
+
+
+def _worded(template: str, tolerance_km: float) -> Column:
+    """A reason text with the row's values in its places; distances have two decimals."""
+    parts = []
+    for text, name, _, _ in Formatter().parse(template):
+        parts.append(F.lit(text))
+        if name in _DISTANCES.values():
+            parts.append(F.format_string("%.2f", F.col(name).try_cast("double")))
+        elif name == "tolerance_km":
+            parts.append(F.lit(str(tolerance_km)))
+        elif name:
+            parts.append(_text(name))
+    return F.concat(*parts)
+
+
 def reject_invalid(df: DataFrame, tolerance_km: float = V.SPATIAL_TOLERANCE_KM, ordinal: str = "ordinal") -> DataFrame:
     """Add ``reason_code`` and ``reason``: the first check a row fails; null for accepted rows.
 
@@ -42,29 +60,12 @@ def reject_invalid(df: DataFrame, tolerance_km: float = V.SPATIAL_TOLERANCE_KM,
     staged = df.withColumn("_early", early)
     marked = mark_first(staged, ["station_id", "date", "time"], ordinal, "_first", where=F.col("_early").isNull())
     code = F.coalesce(F.col("_early"), F.when(~F.col("_first"), "duplicate_station_time"))
-    for column, name in (("satellite_match_distance_km", "satellite_distance"), ("era5_match_distance_km", "era5_distance")):
+    for name, column in _DISTANCES.items():
         if column in df.columns:
             code = F.coalesce(code, F.when(F.col(column).try_cast("double") > tolerance_km, name))
-    pair = F.concat(F.lit("Latitude='"), _text("latitude"), F.lit("', Longitude='"), _text("longitude"), F.lit("'"))
-    point = F.concat(F.lit("("), _text("latitude"), F.lit(", "), _text("longitude"), F.lit(")"))
-    distance = lambda c, label: F.concat(
-        F.lit(f"{label} match distance "), F.format_string("%.2f", F.col(c).try_cast("double")),
-        F.lit(f"km exceeds tolerance {tolerance_km}km"))
-    reasons = {
-        "bad_timestamp": F.concat(F.lit("Unparseable timestamp: Date='"), _text("date"),
-                                  F.lit("', Time='"), _text("time"), F.lit("'")),
-        "missing_coordinate": F.concat(F.lit("Missing coordinate: "), pair),
-        "non_numeric_coordinate": F.concat(F.lit("Non-numeric coordinate: "), pair),
-        "outside_world": F.concat(F.lit("Coordinate outside physical bounds: "), point),
-        "outside_region": F.concat(F.lit("Coordinate outside India bounding box [6–38°N, 68–98°E]: "), point),
-        "duplicate_station_time": F.concat(
-            F.lit("Duplicate station-time observation for station="), _text("station_id"),
-            F.lit(", date="), _text("date"), F.lit(", time="), _text("time")),
-    }
-    if "satellite_match_distance_km" in df.columns:
-        reasons["satellite_distance"] = distance("satellite_match_distance_km", "Satellite")
-    if "era5_match_distance_km" in df.columns:
-        reasons["era5_distance"] = distance("era5_match_distance_km", "ERA5")
+    present = set(df.columns)
+    reasons = {name: _worded(text, tolerance_km) for name, text in V.REASON_TEXTS.items()
+               if name not in _DISTANCES or _DISTANCES[name] in present}
     judged = marked.withColumn("reason_code", code)
     wording = None
     for name, words in reasons.items():

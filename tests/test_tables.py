@@ -65,6 +65,20 @@ def test_pages_and_broken_page(spark, tmp_path):
     assert sorted((r.state, r.n_records) for r in got.pages.collect()) == [("complete", 2), ("incomplete", 1), ("unreadable", 0)]
 
 
+def test_bad_text_in_a_fixed_column_is_null_and_counted(spark):
+    schema = T.StructType([T.StructField("latitude", T.DoubleType()), T.StructField("city", T.StringType())])
+    df = spark.createDataFrame([("1.5", "a"), ("n/a", "b"), (None, "c")], "latitude string, city string")
+    assert [r.latitude for r in cols.ensure_columns(df, schema).orderBy("city").collect()] == [1.5, None, None]
+    assert cols.cast_failures(df, schema).first().asDict() == {"latitude": 1, "city": 0}
+
+
+def test_products_with_several_pixels_on_one_key(spark):
+    a = spark.sql("select * from values (1, 10.01D, 20.02D, 4.0D), (1, 9.98D, 19.99D, 8.0D), (1, 10.31D, 20.0D, 1.0D) t(timestamp, latitude, longitude, aod)")
+    b = spark.sql("select * from values (1, 10.02D, 20.01D, 3.0D), (1, 10.0D, 20.0D, 5.0D) t(timestamp, latitude, longitude, hcho)")
+    got = {(r.latitude, r.longitude): (r.aod, r.hcho) for r in grids.merge_products([a, b], ["aod", "hcho"]).collect()}
+    assert got == {(10.0, 20.0): (6.0, 4.0), (10.3, 20.0): (1.0, None)}
+
+
 def test_snapshot_with_folders_inside(spark, tmp_path):
     schema = T.StructType([T.StructField("v", T.LongType())])
     spark.range(100).toDF("v").write.option("header", True).csv(str(tmp_path / "raw_0900"))
