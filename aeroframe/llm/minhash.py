@@ -3,10 +3,9 @@
 Two permutations of the 32-bit numbers make all coordinates: the first scatters the shingles, the second
 is shifted circularly by k for coordinate k. Texts that agree in a band share a bucket.
 
-Rows with equal sets collapse to their smallest id first. Each remaining text is compared with one
-leader per family, then with one text of another component, and only then with every text that shares
-a bucket but not yet a component, so a family of m texts needs about m comparisons, not m * m, and every
-candidate pair ends compared or connected. A pair at similarity 0.8 misses all 32 bands of 4 with
+Rows with equal sets collapse to their smallest id first. Each remaining text is compared with the one
+leader it meets most often, and then with every text that shares a bucket but not yet a component, so a
+family of m texts needs about m comparisons, not m * m, and every candidate pair ends compared or connected. A pair at similarity 0.8 misses all 32 bands of 4 with
 probability 5e-8.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; repeated rows
@@ -99,33 +98,39 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return with_both.where(similar.asNondeterministic()("set_a", "set_b")).select("a", "b")
 
 
+_EDGES_PER_TASK = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every node of the edges (a, b): alternating large and small stars."""
-    now = common.materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
+    """(id, component) of every node of the edges (a, b): alternating large and small stars.
+
+    Each round is written; its digest tells when nothing changes any more. The number of tasks follows the
+    number of edges.
+    """
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    now, known = common.materialise(pairs.distinct(), "stars"), None
     while True:
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        then = common.materialise(small.select("e.u", "e.v").where("u <> v").distinct(), "stars")
-        changed = then.join(now, ["u", "v"], "left_anti").limit(1).count() + now.join(then, ["u", "v"], "left_anti").limit(1).count()
-        now = then
-        if not changed:
+        n, digest = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if known == (n, digest):
             break
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select("v", "v").distinct().toDF("id", "component"))
+        known, tasks = (n, digest), 1 + n // _EDGES_PER_TASK
+        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(tasks)
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
+        lower = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
+        joined = large.join(lower, "u").coalesce(tasks)
+        small = joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        now = common.materialise(small.select("e.u", "e.v").where("u <> v").distinct().coalesce(tasks), "stars")
+    heads = now.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(heads)
 
 
-def _labelled(buckets: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Buckets with the component of each member; only buckets with more than one component."""
-    named = buckets.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id")) if comps is not None \
-        else buckets.withColumn("component", F.col("id"))
-    held = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader"))
-    mixed = held.groupBy("key").agg(
-        F.count(F.lit(1)).alias("k"), F.max(F.struct("n", (-F.col("component")).alias("c"), "leader")).alias("most"))
-    mixed = mixed.where("k > 1").select("key", (-F.col("most.c")).alias("main"), F.col("most.leader").alias("main_leader"))
-    return named.join(mixed, "key")
+def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with their own and the bucket's main one."""
+    named = buckets.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    held = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = held.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("most"))
+    return named.join(mixed.where("k > 1").select("key", (-F.col("most.c")).alias("main")), "key")
 
 
 def _fits(a: str, b: str, percent: int) -> F.Column:
@@ -140,39 +145,35 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = PERCENT)
     classes = common.materialise(usable.groupBy("same").agg(
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
 
-    members = classes.select("id", "n", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("leader")).where("k > 1")
-    buckets = common.materialise(members.join(shared.drop("k"), "key"), "buckets")
-    wanted = buckets.select("id").distinct()
+    members = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    buckets = common.materialise(members.join(shared, "key"), "buckets")
+    wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    # repeated rows of an id may hold other texts; the set of its class is what counts
-    own = texts.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id")
-    sets = full_sets(own, size).withColumn("n", F.length("shingles") / 8)
+    sets = full_sets(texts.join(wanted, "doc_id"), size).withColumn("n", F.length("shingles") / 8)
+    # an id may stand on several texts: one whose set was classed under it counts
     sets = common.materialise(sets.join(classes.select("id", "n"), ["id", "n"]).select("id", "shingles").dropDuplicates(["id"]), "sets")
 
-    # one leader per text: the one it shares most bands with
-    best = buckets.where("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("k"))
-    best = best.groupBy("id").agg(F.max(F.struct("k", (-F.col("leader")).alias("l"))).alias("m"))
-    tested = common.materialise(best.select((-F.col("m.l")).alias("a"), F.col("id").alias("b")), "pairs")
+    # the text that meets most others leads a bucket; a text is compared with the leader it meets most often
+    met = buckets.groupBy("id").agg(F.sum("k").alias("met"))
+    known = buckets.select("id", "key").join(met, "id")
+    lead = known.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("l"))).alias("lead"))
+    best = known.join(lead, "key").where(F.col("id") != -F.col("lead.l")).groupBy("id", "lead").agg(F.count(F.lit(1)).alias("k"))
+    best = best.groupBy("id").agg(F.max(F.struct("k", "lead")).alias("m")).select("id", (-F.col("m.lead.l")).alias("o"))
+    tested = common.materialise(best.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct(), "pairs")
     edges = common.materialise(linked(tested, sets, percent), "links")
     comps = components(edges)
 
-    # one text of the bucket's main component per text outside it
-    open_ = _labelled(buckets, comps).where("component <> main")
-    again = open_.groupBy("id").agg(F.max_by("main_leader", F.struct("n", "key")).alias("o"))
-    again = again.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
-    again = common.materialise(again.join(tested, ["a", "b"], "left_anti"), "pairs")
-    edges = common.materialise(edges.unionAll(linked(again, sets, percent)), "links")
-    comps = components(edges)
-
-    # whatever shares a bucket and is neither compared nor connected
-    open_ = common.materialise(_labelled(buckets, comps), "open")
-    left = open_.where("component <> main").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    right = open_.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "main")
-    rest = left.join(right, "key").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
-                                         & _fits("nx", "ny", percent))
+    # whatever shares a bucket and is neither compared nor connected, each pair in its first common band only
+    open_ = common.materialise(_open(buckets, comps).join(classes.select("id", "bands"), "id"), "open")
+    left = open_.where("component <> main").select("key", "band", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("bands").alias("bx"))
+    right = open_.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "main", F.col("bands").alias("by"))
+    new = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & _fits("nx", "ny", percent)
+    seen = F.arrays_overlap(F.slice("bx", F.lit(1), F.col("band")), F.slice("by", F.lit(1), F.col("band")))
+    rest = left.join(right, "key").where(new & ~seen)
+    # a repeated id may have several lists of bands
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = common.materialise(rest.join(tested.unionAll(again), ["a", "b"], "left_anti"), "pairs")
+    rest = common.materialise(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
     edges = common.materialise(edges.unionAll(linked(rest, sets, percent)), "links")
     comps = components(edges)
 
