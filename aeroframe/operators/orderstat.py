@@ -3,9 +3,9 @@
 The wanted row is found digit by digit: count rows per coarse bucket of the sort key, pick the
 bucket that holds the rank, then count inside that bucket only. Every step is a map-side combined
 count, so only counters are shuffled, whatever the row count and however rows pile up on one key.
-Numbers are bucketed by magnitude first, then in even steps between the least and the largest value of
-the bucket just picked: a column with a large offset and a small spread is cut as finely as any other,
-and the last step ranks about a 2^-16th part of an even spread. More even levels cut an uneven one finer.
+Numbers are bucketed by magnitude first; the values of the bucket picked are then parted in even steps of
+its own range and ranked inside one part: a column with a large offset and a small spread is cut as finely
+as any other, and no task ranks more than about a 2^-16th part of an even spread.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def magnitude_bucket(x: Column) -> Column:
 
 def value_statistics(
     long: DataFrame, group: Sequence[str], ranks: dict[str, Callable[[Column], Column]], weight: str | None = None,
-    bounded: bool = True, even_levels: int = 1,
+    bounded: bool = True,
 ) -> DataFrame:
     """(group..., rank_name, value, n): the values at zero-based ranks of the column ``value`` of each group.
 
@@ -93,15 +93,18 @@ def value_statistics(
     path = first.withColumn("_w", F.explode(here)).select(
         *group, "_w.rank_name", (F.col("_w._r") - F.col("_start")).alias("_r"), "n", "_lo", "_hi")
 
+    # distinct values of the bucket are counted once; they are ranked inside one even part of it only
     keys = [*group, "rank_name", "_r", "n"]
-    step = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * EVEN_STEPS)).otherwise(0)
-    for i in range(even_levels + 1):
-        inside = long.join(F.broadcast(path) if bounded else path, group).where(F.col("value").between(F.col("_lo"), F.col("_hi")))
-        level = step if i < even_levels else F.col("value")
-        counted = inside.groupBy(*keys, level.alias("_bucket")).agg(tally.alias("_c"), *ends)
-        found = spans(counted, keys, "_bucket").where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end")))
-        path = found.select(*group, "rank_name", (F.col("_r") - F.col("_start")).alias("_r"), "n", "_lo", "_hi")
-    return path.select(*group, "rank_name", F.col("_lo").alias("value"), "n")
+    even = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * EVEN_STEPS)).otherwise(0)
+    inside = long.join(F.broadcast(path) if bounded else path, group).where(F.col("value").between(F.col("_lo"), F.col("_hi")))
+    values = inside.groupBy(*keys, even.alias("_even"), "value").agg(tally.alias("_c"))
+    hit = (F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end"))
+    parts = spans(values.groupBy(*keys, "_even").agg(F.sum("_c").alias("_c")), keys, "_even").where(hit)
+    parts = parts.select(*keys, "_even", F.col("_start").alias("_before"))
+    picked = values.join(F.broadcast(parts) if bounded else parts, [*keys, "_even"])
+    ranked = spans(picked, [*keys, "_even"], "value").where(
+        (F.col("_r") >= F.col("_before") + F.col("_start")) & (F.col("_r") < F.col("_before") + F.col("_end")))
+    return ranked.select(*group, "rank_name", "value", "n")
 
 
 def exact_quantiles(
