@@ -66,15 +66,18 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Log-likelihood of every document under the recurrent model and under the unigram base."""
     documents = common.table(spark, folder, "documents", "doc_id", "text")
-    training = documents.where(common.remainder("doc_id", 7) != 2)
-    counted = common.materialise(grulm.count_words(training), "word-counts")
-    return grulm.score(documents, counted, grulm.fit(training, counted), (7, 2))
+    in_training = common.remainder("doc_id", 7) != 2
+    counted = common.materialise(grulm.count_words(documents.where(in_training)), "word-counts")
+    vocabulary = grulm.vocabulary(counted)
+    coded = grulm.encode(documents, vocabulary)
+    return grulm.score(coded, counted, grulm.fit(grulm.texts_of(coded).where(in_training), vocabulary), (7, 2))
 
 
 @query("op6_circulant_minhash", r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^ 	-]+'), lambda w: w <> '') AS w FROM documents),
+    '[^ 	-
+]+'), lambda w: w <> '') AS w FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
     ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
