@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,8 +33,12 @@ _SLACK = 0.005
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
+# fixed value: the vocabulary's added tokens, found in a text before it is cut into pieces
+ADDED = {"<|endoftext|>": 50256}
+
+
 class Ids:
-    """Byte-level BPE ids as little-endian unsigned 32-bit bytes; special tokens' names are ordinary text."""
+    """Byte-level BPE ids as little-endian unsigned 32-bit bytes; an added token quoted in a text is its one id."""
 
     def __init__(self, ranks_path: str):
         import tiktoken
@@ -41,9 +46,13 @@ class Ids:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._of = tiktoken.Encoding("packing", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        self._added = re.compile("(" + "|".join(map(re.escape, ADDED)) + ")")
 
     def of(self, text: str) -> bytes:
-        return np.array(self._of.encode_ordinary(text), "<u4").tobytes()
+        ids = []
+        for part in self._added.split(text):          # each part is cut as a text of its own
+            ids += [ADDED[part]] if part in ADDED else self._of.encode_ordinary(part)
+        return np.array(ids, "<u4").tobytes()
 
 
 class _Room:
