@@ -3,7 +3,8 @@
 A text is reduced to its words joined by single blanks; one automaton finds all phrases at word
 boundaries in one pass. Where it finds an identifier tag, the expression behind the tag in the text
 itself is parsed with operators WITH, AND, OR (strongest first) and brackets, and evaluated to the sets
-of licences that satisfy it; its licences join the labels.
+of licences that satisfy it; its licences join the labels. The readable start ends at the first token that
+does not continue it. An expression with too many sets has all its labels, and shows itself instead of its sets.
 
 Defined results: a null, empty or wordless text has no words, no places, null first and last word, empty
 labels and score 0. A tag without a readable expression adds no label. Repeated documents are scanned
@@ -14,6 +15,7 @@ in full counting two.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -41,9 +43,15 @@ NOTICES = {
 TAGS = ("spdx license identifier",)
 _TAG = re.compile(r"spdx-license-identifier\s*:\s*([^\n*<>\"']+)", re.IGNORECASE)
 _TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+_IN_WORD = re.compile(r"\w")       # a name that goes on with other letters is none
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
 _BLANKED = bytes(c if chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256)).lower()
-MAX_ALTERNATIVES = 4096
+MAX_ALTERNATIVES = 4096         # sets shown; labels and score do not depend on it
+_MAX_STEPS = 1 << 22
+
+
+class TooMany(ValueError):
+    """More sets than are shown."""
 
 
 def postfix(expression: str) -> list[str]:
@@ -92,16 +100,20 @@ def postfix(expression: str) -> list[str]:
 def alternatives(expression: str) -> list[frozenset[str]]:
     """Sets of licences each of which satisfies the expression; ``a with b`` is one licence."""
     stack: list[list[frozenset[str]]] = []
+    steps = 0
     for token in postfix(expression):
         if token not in _STRENGTH:
             stack.append([frozenset([token])])
             continue
         b, a = stack.pop(), stack.pop()
+        if token != "with":
+            several = len(a) * len(b) if token == "and" else len(a) + len(b)
+            steps += several * (len(a[-1]) + len(b[-1]) if token == "and" else 1)
+            if several > MAX_ALTERNATIVES or steps > _MAX_STEPS:
+                raise TooMany("too many alternatives")
         if token == "or":
             stack.append(list(dict.fromkeys(a + b)))
         elif token == "and":
-            if len(a) * len(b) > MAX_ALTERNATIVES:
-                raise ValueError("too many alternatives")
             stack.append(list(dict.fromkeys(x | y for x in a for y in b)))
         else:
             if len(a) != 1 or len(a[0]) != 1 or len(b) != 1 or len(b[0]) != 1:
@@ -110,15 +122,62 @@ def alternatives(expression: str) -> list[frozenset[str]]:
     return stack[0]
 
 
+def licences_of(expression: str) -> set[str]:
+    """Names of an expression, without the exceptions behind ``with``."""
+    stack: list[str | None] = []
+    names: Counter[str] = Counter()
+    for token in postfix(expression):
+        if token not in _STRENGTH:
+            stack.append(token)
+            names[token] += 1
+            continue
+        b = stack.pop()
+        if token == "with":
+            names[b] -= 1
+        else:
+            stack[-1] = None
+    return {x for x, n in names.items() if n > 0}
+
+
+def readable_end(found: str) -> int:
+    """Where the longest readable start of what follows a tag ends, 0 if there is none; one walk over the tokens."""
+    # per open bracket: whether it holds AND or OR, the operator before, whether the operand just read is one name
+    levels: list[list] = [[False, None, None]]
+    at = end = 0
+    while m := _TOKEN.match(found, at):
+        token, at = m[1].lower(), m.end()
+        level = levels[-1]
+        if token == "(":
+            if level[2] is not None:
+                break
+            levels.append([False, None, None])
+            continue
+        if token in _STRENGTH:
+            if level[2] is None or token == "with" and not level[2]:
+                break
+            levels[-1] = [level[0] or token != "with", token, None]
+            continue
+        single = True
+        if token == ")":
+            if len(levels) == 1 or level[2] is None:
+                break
+            single = level[2] and not level[0]
+            levels.pop()
+            level = levels[-1]
+        elif level[2] is not None or _IN_WORD.match(found, at):
+            break
+        if level[1] == "with" and not single:
+            break
+        level[2] = single
+        if len(levels) == 1:
+            end = at
+    return end
+
+
 def readable_start(found: str) -> list[frozenset[str]]:
     """Alternatives of the longest readable start of what follows a tag; empty if there is none."""
-    ends = [m.end() for m in re.finditer(r"\S+", found)]
-    for end in reversed(ends[:64]):
-        try:
-            return alternatives(found[:end])
-        except ValueError:
-            continue
-    return []
+    end = readable_end(found)
+    return alternatives(found[:end]) if end else []
 
 
 class Scanner:
@@ -164,10 +223,15 @@ class Scanner:
         wholes = []
         if tagged:
             for m in _TAG.finditer(text):
-                sets = readable_start(m[1])
-                labels.update(x.split(" with ")[0] for s in sets for x in s)
-                evidence += 2 * bool(sets)
-                wholes.append(" or ".join(sorted("+".join(sorted(s)) for s in sets)))
+                read = m[1][:readable_end(m[1])]
+                if not read:
+                    continue
+                labels |= licences_of(read)
+                evidence += 2
+                try:
+                    wholes.append(" or ".join(sorted("+".join(sorted(s)) for s in alternatives(read))))
+                except TooMany:
+                    wholes.append(f"more than {MAX_ALTERNATIVES} sets of {' '.join(read.lower().split())}")
         return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
                 ",".join(sorted(labels)), "; ".join(w for w in wholes if w), 1.0 - 0.5 ** min(evidence, 50))
 
