@@ -1,9 +1,9 @@
 """Toxicity scores on deobfuscated text.
 
 Noisy channel: a writer takes a clean word and hides it by lookalike characters (1d10t), by spacing
-(i d i o t) or by repetition (idiiiot). Every suspicious stretch becomes a lattice of the letters each
+(i d i o t) or by repetition (idiiiot, iiddiioott). Every suspicious stretch becomes a lattice of the letters each
 character may stand for; a Viterbi search over a character trigram model of the corpus finds the most
-probable clean reading. Stretches with a single reading need no search. The restored text is scored by
+probable clean reading, whatever its length: the states run on through windows. Stretches with a single reading need no search. The restored text is scored by
 word beginnings and whole words that labelled toxic texts share, found by one Aho-Corasick pass, and a
 logistic curve fitted on other labelled texts.
 
@@ -20,6 +20,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
+from os.path import commonprefix
 
 import ahocorasick
 import numpy as np
@@ -40,11 +42,17 @@ _FIRST_ACCENT = 0xDF
 _CLASSES = 64                   # 0 blank, 1-26 a-z, 27-59 accented Latin letters, 60 other letters
 _BLANK, _OTHER = 0, 60
 _SIGNS = re.escape("".join(LOOKALIKES))
-_HIDDEN = re.compile(rf"(?<![^\W_])[{_SIGNS}]*[^\W\d_]+(?:[{_SIGNS}]+[^\W\d_]+)+|(?<![^\W_])[{_SIGNS}]+[^\W\d_]{{2,}}")
+_LETTER = r"[^\W\d_]"
+_EITHER = rf"(?:{_LETTER}|[{_SIGNS}])"
+# letters with look-alikes before, between or behind them
+_HIDDEN = re.compile(rf"(?<![^\W_])(?<![{_SIGNS}])(?:{_LETTER}+[{_SIGNS}]|[{_SIGNS}]+{_LETTER}{_EITHER}|[{_SIGNS}]{{2,}}{_LETTER}){_EITHER}*")
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ ._-][^\W_]){2,}(?!\w)")
-_RUN = re.compile(r"([^\W\d_])\1\1")
-_LONG_RUN = re.compile(r"[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*")
-_STRETCH = 48                   # longer stretches are no hidden words
+# one letter three times, or two letters in a row doubled
+_RUN = re.compile(rf"({_LETTER})\1(?:\1|({_LETTER})\2)")
+_LONG_RUN = re.compile(rf"(?<!{_LETTER}){_LETTER}*?({_LETTER})\1(?:\1|({_LETTER})\2){_LETTER}*")
+_EQUAL = re.compile(r"(.)\1*", re.DOTALL)
+_WINDOW = 64                    # columns after which the reading common to all states is settled
+_CACHED = 48                    # longest stretch that is remembered
 _KEPT = 50_000
 
 
@@ -105,14 +113,23 @@ class Decoder:
             return 27 + ord(c) - _FIRST_ACCENT
         return _OTHER if c.isalpha() else _BLANK
 
-    def lattice(self, stretch: str) -> list[list[tuple[str, float]]]:
-        """Per run of equal characters the readings (letters, log probability)."""
-        columns = []
-        for m in re.finditer(r"(.)\1*", stretch):
+    def lattice(self, stretch: str, spaced: bool = False) -> Iterator[list[tuple[str, float]]]:
+        """Per run of equal characters the readings (letters, log probability).
+
+        Look-alikes before the first and behind the last letter may also stand for themselves; in a spaced
+        stretch a word may end behind every letter.
+        """
+        letters_at = [i for i, c in enumerate(stretch) if c.isalpha()] or [len(stretch)]
+        for m in _EQUAL.finditer(stretch):
             c, n = m[1], len(m[0])
             letters = [(x, _SUBSTITUTED) for x in LOOKALIKES.get(c, "")] or [(c, 0.0)]
-            columns.append([(x * k, cost * n + _REPEATED * (n - k)) for x, cost in letters for k in range(1, min(n, 2) + 1)])
-        return columns
+            column = [(x * k, cost * n + _REPEATED * (n - k)) for x, cost in letters for k in range(1, min(n, 2) + 1)]
+            if spaced:
+                column += [(f"{x} ", cost) for x, cost in column] + [
+                    (f"{x} {x}{end}", cost * n + _REPEATED * (n - 2)) for x, cost in letters for end in ("", " ") if n > 1]
+            elif c in LOOKALIKES and not letters_at[0] < m.start() < letters_at[-1]:
+                column.append((m[0], 0.0))
+            yield column
 
     def literal(self, text: str) -> float:
         """Log probability of a text as it stands."""
@@ -123,10 +140,11 @@ class Decoder:
             x, y = y, z
         return total
 
-    def viterbi(self, stretch: str) -> tuple[float, str]:
-        """Most probable clean reading of one word, with its log probability."""
+    def viterbi(self, stretch: str, spaced: bool = False) -> tuple[float, str]:
+        """Most probable clean reading of a stretch, with its log probability."""
         best: dict[tuple[int, int], tuple[float, str]] = {(_BLANK, _BLANK): (0.0, "")}
-        for column in [*self.lattice(stretch), [(" ", 0.0)]]:
+        settled: list[str] = []
+        for i, column in enumerate(chain(self.lattice(stretch, spaced), [[(" ", 0.0)]])):
             then: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, read) in best.items():
                 for letters, cost in column:
@@ -139,24 +157,33 @@ class Decoder:
                     if old is None or s > old[0]:
                         then[x, y] = (s, read + letters)
             best = then
+            if i % _WINDOW == _WINDOW - 1:
+                common = commonprefix([read for _, read in best.values()])
+                settled.append(common)
+                best = {k: (score, read[len(common):]) for k, (score, read) in best.items()}
         score, read = max(best.values())
-        return score, read.rstrip(" ")
+        return score, ("".join(settled) + read).rstrip(" ")
 
     def _read(self, m: re.Match) -> str:
         stretch = m[0]
-        if len(stretch) > _STRETCH:
-            return stretch
         read = self._known.get(stretch)
         if read is None:
             if len(self._known) >= _KEPT:
                 self._known.clear()
             joined = re.sub(r"[ ._-]", "", stretch)
-            score, read = self.viterbi(joined)
-            if len(joined) < len(stretch) and self.literal(stretch) > score + _SPACED_OUT:
+            spaced = len(joined) < len(stretch)
+            score, read = self.viterbi(joined, spaced)
+            if spaced and self.literal(stretch) > score + _SPACED_OUT:
                 read = stretch                # single letters that make no likelier word stay apart
-            self._known[stretch] = read
+            if len(stretch) <= _CACHED:
+                self._known[stretch] = read
         return read
 
+    def _read_run(self, m: re.Match) -> str:
+        runs = [len(x[0]) for x in _EQUAL.finditer(m[0])]
+        # doubled letters are common in words, but seldom more than half of the letters
+        return self._read(m) if max(runs) > 2 or 2 * sum(n > 1 for n in runs) > len(runs) else m[0]
+
     def restore(self, text: str | None) -> str:
         """Lower-cased text with hidden words replaced by their readings."""
         low = (text or "").lower()
@@ -164,7 +191,7 @@ class Decoder:
             return ""
         low = _SPACED.sub(self._read, low)
         low = _HIDDEN.sub(self._read, low)
-        return _LONG_RUN.sub(self._read, low) if _RUN.search(low) else low
+        return _LONG_RUN.sub(self._read_run, low) if _RUN.search(low) else low
 
 
 _SEPARATED = bytes(c if chr(c).isalpha() or c >= 0x80 else 0x20 for c in range(256))
