@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aeroframe.llm import (
-    common, decision_list, ga2m, grulm, langid, licences, minhash, mixing, packing, toxicity, vafile,
+    common, decision_list, ga2m, grulm, langid, licences, mincut, minhash, mixing, packing, toxicity, vafile, variants, whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,22 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = documents.select("doc_id", licences.scanned("text").alias("s"))
     return found.select("doc_id", *[F.col("s")[c].alias(c) for c in (
         "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "alternatives")])
+
+
+@query("op11_sorted_list_variants")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Frequent form and root of every word, from words one edit apart."""
+    return variants.variants(common.table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op12_minimum_cut_text")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = common.table(spark, folder, "pages", "page_id", "url", "html")
+    return mincut.extract(pages, mincut.fit(pages))
+
+
+@query("op13_block_matrix_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened leading components of every vector."""
+    return whitening.whiten(common.table(spark, folder, "embeddings", "vec_id", "embedding"))

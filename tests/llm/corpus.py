@@ -51,6 +51,27 @@ def texts() -> list[tuple]:
     return rows
 
 
+_HEAD = "<!DOCTYPE html><html><head><title>Some title</title><style>p{}</style><script>var a='</p>';</script></head>"
+_LONG = "The river rose again in the night and the old bridge, which had stood for longer than anybody knew, gave way at last."
+# (page_id, url, html, main text)
+PAGES = [
+    (0, "http://a.example/0", f"{_HEAD}<body class='with-sidebar'><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News &amp; views</a></li></ul></nav>"
+     f"<!-- <p>no</p> --><div class='ad'>Buy this now. It is good, cheap and near.</div><article><header><h1>Caf&eacute; by the&nbsp;river</h1></header><p><b>{_LONG}"
+     f"<br><p>Short.</p><p>A &lt;b&gt; is\n no  tag &#8212; <a href='x'>see</a> there.</p><aside>Related: other rivers of the land.</aside></article>"
+     "<section id='comments'><article class='comment'><p>I was there that night and saw the bridge fall, what a sight it was.</p></article></section>"
+     "<footer>&copy; 2020 All rights reserved</footer></body></html>",
+     f"Caf\u00e9 by the river\n{_LONG}\nShort.\nA <b> is no tag \u2014 see there."),
+    (1, "http://a.example/1", f"{_HEAD}<body><div id='page' class='layout-sidebar'><div id='header'><a href='/'>The Site</a></div><div class='content'><h2>A heading</h2><p>{_LONG}</p>"
+     f"<ul><li>first point</li><li>second point</li></ul><p>{_LONG}</p><form><p>Write to us about this story and all others that we have.</p><input type=text></form></div>"
+     "<div id='sidebar'><p>Most read this week, by many people who also liked that.</p></div><div role='contentinfo'>Imprint | Contact</div></div></body></html>",
+     f"A heading\n{_LONG}\nfirst point\nsecond point\n{_LONG}"),
+    (2, None, f"{_HEAD}<body><div><p>{_LONG}</p><p>{_LONG}</p></div><div class='cookie-notice'>We use cookies to make this page better for you.</div><p style='display: none'>hidden words</p>", f"{_LONG}\n{_LONG}"),
+    (3, "http://a.example/3", None, ""), (4, "http://a.example/4", "", ""), (4, "http://a.example/4", " \n ", ""), (None, None, "<nav>only a menu</nav>", ""),
+    (5, "u", f"<article><p>{_LONG}</p><p>cut off &am", f"{_LONG}\ncut off &am"),
+    (6, "u", "<article>" + f"<p>{_LONG}</p>" * 3000 + "<div><p><span>" * 500, "\n".join([_LONG] * 3000)),
+    (7, "u", f"<main><p>{_LONG}</p><script>never closed <p>no</p>", _LONG),
+    (8, "u", f"<article><p title='a > b'>1 < 2 and {_LONG}</p></article>", f"1 < 2 and {_LONG}"),
+]
 _TEXT = {"doc_id": pa.int64(), "text": pa.string(), "lang": pa.string(), "source": pa.string(), "n_chars": pa.int64()}
 # columns that share a name with what the operators add
 _CLASHES = {"score": pa.float64(), "kept": pa.string(), "size": pa.int64(), "words": pa.int64(), "copy": pa.string(), "shard": pa.int64(),
@@ -76,4 +97,8 @@ def write(folder: str, empty: bool = False) -> list[tuple]:
                                  (2, vectors[1][1]), (9, [1.0, 2.0]), (450, [0.5, 0.25]), (500, []), (11, []), (13, vectors[3][1])]
     pq.write_table(pa.table({"vec_id": pa.array([v[0] for v in vectors], pa.int64()), "embedding": pa.array([v[1] for v in vectors], pa.list_(pa.float32())),
                              "label": pa.nulls(len(vectors), pa.int32()), "score": pa.nulls(len(vectors), pa.int64())}), f"{folder}/embeddings.parquet")
+    pages = [] if empty else PAGES
+    pq.write_table(pa.table({"page_id": pa.array([x[0] for x in pages], pa.int64()), "url": pa.array([x[1] for x in pages], pa.string()),
+                             "html": pa.array([x[2] for x in pages], pa.string()), "text": pa.nulls(len(pages), pa.int64()),
+                             "n_chars": pa.nulls(len(pages), pa.string())}), f"{folder}/pages.parquet")
     return rows
