@@ -3,15 +3,18 @@
 Two permutations of the 32-bit numbers make all coordinates: the first scatters the shingles, the second
 is shifted circularly by k for coordinate k. Texts that agree in a band share a bucket.
 
-Rows with equal sets collapse to their smallest id first. Each remaining text is compared with the one
-leader it meets most often, then with some texts of the main component around it, and at last with every
-text that shares a bucket but not yet a component, so a family of m texts needs about m comparisons, not
-m * m, and every candidate pair ends compared or connected. A pair at similarity 0.8 misses all 32 bands of 4 with
-probability 5e-8.
+Rows with equal sets collapse to one class first. Each class is compared with the one leader it meets most
+often, then with some texts of the main component around it. What then shares a bucket but not yet a component
+is a text that is alike without reaching the threshold. In a large group such texts are described by their
+differences from a common centre: two of them can only be linked if they share a stated number of differences, so
+each lists its rarest differences, as many as prefix filtering needs, and only texts that meet in one are compared.
+A family of m texts needs about m comparisons, not m * m, and every candidate pair ends compared, connected or
+excluded by that bound. A pair at similarity 0.8 misses all 32 bands of 4 with probability 5e-8.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; repeated rows
-are copies of each other; rows without an id are linked with nothing and get a null component; an empty
-table gives an empty result. Component ids are the smallest ids reachable.
+are copies of each other; an id on several texts counts with each of them; rows without an id are linked with
+nothing and get a null component; an empty table gives an empty result. Component ids are the smallest ids
+reachable.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from aeroframe.llm import common, shingles
 
 BANDS, ROWS = 32, 4
 PERCENT = 80
 CHANCES = 2
+DIRECT_TEXTS = 64                # in larger groups texts are compared by their differences from a centre
 _A, _B, _SCATTER = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,32 +60,33 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def digests(documents: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, same, bands): set size, digest of the whole set, band keys."""
+    """(doc_id, tag, n_shingles, same, bands): set size, digest of the whole set, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, same, bands = [], [], []
-            for s in shingles.sets(batch.column(1), size):
+            for s in shingles.sets(batch.column(2), size):
                 n.append(len(s))
                 same.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
                 bands.append(band_keys(signature(s)) if len(s) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "same", "bands"])
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "tag", "n_shingles", "same", "bands"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, same binary, bands array<long>")
+    tag = F.col("tag") if "tag" in documents.columns else F.lit(None).cast("binary").alias("tag")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), tag, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
+        run, "doc_id long, tag binary, n_shingles long, same binary, bands array<long>")
 
 
 def full_sets(documents: DataFrame, size: int) -> DataFrame:
-    """(id, shingles): the whole sorted set as bytes."""
+    """(id, shingles): digest of the set as in ``digests``, and the whole sorted set as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = pa.array([s.tobytes() for s in shingles.sets(batch.column(1), size)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), raw], names=["id", "shingles"])
+            raw = [s.tobytes() for s in shingles.sets(batch.column(0), size)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh128_digest, raw), pa.binary()), pa.array(raw, pa.binary())], names=["id", "shingles"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "id long, shingles binary")
+    return documents.select("text").mapInArrow(run, "id binary, shingles binary")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -135,8 +140,8 @@ def _open(buckets: DataFrame, comps: DataFrame, seed: int = 0) -> DataFrame:
     named = buckets.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     chance = F.min(F.struct(F.xxhash64(F.lit(seed), "key", "id").alias("h"), F.col("id").alias("id")))
     held = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), chance.alias("o"))
-    mixed = held.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", (-F.col("component")).alias("c"), "o.id")).alias("most"))
-    return named.join(mixed.where("k > 1").select("key", (-F.col("most.c")).alias("main"), F.col("most.id").alias("other")), "key")
+    mixed = held.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "component", "o.id")).alias("most"))
+    return named.join(mixed.where("k > 1").select("key", F.col("most.component").alias("main"), F.col("most.id").alias("other")), "key")
 
 
 def _fits(a: str, b: str, percent: int) -> F.Column:
@@ -144,28 +149,98 @@ def _fits(a: str, b: str, percent: int) -> F.Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _centres(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(main, core): for every large group of (id, main) the sorted shingles that most of about 256 members have.
+
+    Any set would do as a centre: the better it is, the fewer pairs are compared.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            if held:
+                main = batch.column(0).take(pa.array(np.repeat(np.arange(len(held)), [len(x) for x in held])))
+                yield pa.RecordBatch.from_arrays([main, pa.array(np.concatenate(held))], names=["main", "x"])
+
+    sizes = texts.groupBy("main").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > DIRECT_TEXTS)
+    some = texts.join(sizes, "main").where(F.expr("pmod(xxhash64(id), greatest(1, m div 256)) = 0"))
+    some = common.materialise(some.join(sets, "id").select("main", "shingles"), "centre-texts")
+    counted = some.mapInArrow(spread, "main binary, x long").groupBy("main", "x").agg(F.count(F.lit(1)).alias("k"))
+    cores = counted.join(some.groupBy("main").agg(F.count(F.lit(1)).alias("of")), "main").where("2 * k > of")
+    return cores.groupBy("main").agg(F.sort_array(F.collect_list("x")).alias("core"))
+
+
+def _difference(own: str, core: str) -> F.Column:
+    """Number of the centre's shingles that a text lacks, and all shingles that only one of both has."""
+
+    @F.arrow_udf("struct<missing int, apart array<long>>")
+    def difference(own: pa.Array, core: pa.Array) -> pa.Array:
+        missing, apart = [], []
+        ends = np.cumsum(core.value_lengths().to_numpy())
+        flat, at = core.flatten().to_numpy(), 0
+        for x, end in zip(own.to_pylist(), ends.tolist()):
+            x, y, at = np.frombuffer(x, np.int64), flat[at:end], end
+            either = np.setxor1d(x, y, assume_unique=True)
+            apart.append(either)
+            missing.append((len(either) + len(y) - len(x)) // 2)
+        return pa.StructArray.from_arrays([pa.array(missing, pa.int32()), pa.array(apart, pa.list_(pa.int64()))], names=["missing", "apart"])
+
+    return difference.asNondeterministic()(own, core)
+
+
+def _around_centres(texts: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs to compare within the large groups of (id, component, main), and (id, group, far) of their texts.
+
+    A text lacks a shingles of its group's centre of size l and adds b. If two texts share o of these
+    differences, their common and united sizes are l - a - a' + o and l + b + b' - o. With
+    far = 100 a + percent b - (100 - percent) l, a link needs (100 + percent) o >= far + 100 a' + percent b'.
+    If far > 0 then 100 o >= far as well. Prefix filtering: of d differences in any common order, one of the
+    first d - o + 1 is shared. Pairs of two texts with far <= 0 are not covered.
+    """
+    known = texts.join(_centres(texts, sets), "main").join(sets, "id").withColumn("d", _difference("shingles", "core"))
+    a, all_ = F.col("d.missing"), F.size("d.apart")
+    weight = (100 * a + percent * (all_ - a)).cast("long")
+    far = weight - (100 - percent) * F.size("core")
+    spread = common.materialise(known.select(
+        "id", "component", "main", far.alias("far"), (all_ - F.ceil((weight + 1) / (100 + percent)) + 1).alias("listed"),
+        F.when(far > 0, all_ - F.ceil(far / 100) + 1).otherwise(0).alias("asked"), F.col("d.apart").alias("apart")), "differences")
+    each = spread.select("id", "component", "main", "listed", "asked", F.explode("apart").alias("x"))
+    met = each.groupBy("main", "x").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    order = Window.partitionBy("id").orderBy("k", "x")
+    placed = each.join(met, ["main", "x"]).withColumn("place", F.row_number().over(order))
+    # differences of one component only lead nowhere
+    placed = common.materialise(placed.where("c0 <> c1 and place <= greatest(listed, asked)").drop("c0", "c1", "k"), "rarest")
+    asks = placed.where("place <= asked").select("main", "x", F.col("id").alias("i"), F.col("component").alias("ci"))
+    lists = placed.where("place <= listed").select("main", "x", F.col("id").alias("j"), F.col("component").alias("cj"))
+    pairs = asks.join(lists, ["main", "x"]).where("ci <> cj").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    return pairs, spread.select("id", F.col("main").alias("group"), (F.col("far") > 0).alias("far"))
+
+
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``documents`` (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, kept, tag, component) for every row of ``documents`` (doc_id, text and perhaps a binary tag).
+
+    The tag is handed through; ``component`` tells groups with one smallest id apart.
+    """
     rows = common.materialise(digests(documents, size), "digests")
     usable = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = common.materialise(usable.groupBy("same").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = common.materialise(usable.groupBy(F.col("same").alias("id")).agg(
+        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
 
-    members = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
+    members = classes.select("id", "least", "n", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     buckets = common.materialise(members.join(shared, "key"), "buckets")
-    wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    sets = full_sets(texts.join(wanted, "doc_id"), size).withColumn("n", F.length("shingles") / 8)
-    # an id may stand on several texts: one whose set was classed under it counts
-    sets = common.materialise(sets.join(classes.select("id", "n"), ["id", "n"]).select("id", "shingles").dropDuplicates(["id"]), "sets")
+    wanted = buckets.select("id", "least").distinct()
+    texts = documents.select(F.col("doc_id").cast("long").alias("least"), "text").where(F.col("doc_id").isNotNull())
+    # rows of an id with another text drop out by their digest; repeated rows have one digest and one set
+    sets = full_sets(texts.join(wanted.select("least").distinct(), "least"), size).join(wanted.select("id"), "id", "left_semi")
+    sets = common.materialise(sets.dropDuplicates(["id"]), "sets")
 
     # the text that meets most others leads a bucket; a text is compared with the leader it meets most often
     met = buckets.groupBy("id").agg(F.sum("k").alias("met"))
     known = buckets.select("id", "key").join(met, "id")
-    lead = known.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("l"))).alias("lead"))
-    best = known.join(lead, "key").where(F.col("id") != -F.col("lead.l")).groupBy("id", "lead").agg(F.count(F.lit(1)).alias("k"))
-    best = best.groupBy("id").agg(F.max(F.struct("k", "lead")).alias("m")).select("id", (-F.col("m.lead.l")).alias("o"))
+    lead = known.groupBy("key").agg(F.max(F.struct("met", F.col("id").alias("l"))).alias("lead"))
+    best = known.join(lead, "key").where("id <> lead.l").groupBy("id", "lead").agg(F.count(F.lit(1)).alias("k"))
+    best = best.groupBy("id").agg(F.max(F.struct("k", "lead")).alias("m")).select("id", F.col("m.lead.l").alias("o"))
     tested = common.materialise(best.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct(), "pairs")
     edges = common.materialise(linked(tested, sets, percent), "links")
     comps = components(edges)
@@ -179,20 +254,30 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = PERCENT)
         tested = tested.unionAll(pairs)
         comps = components(edges)
 
-    # whatever shares a bucket and is neither compared nor connected, each pair in its first common band only
+    # whatever shares a bucket and is neither compared nor connected: inside a large group by differences from its
+    # centre, else directly, each pair in its first common band only
     open_ = common.materialise(_open(buckets, comps).join(classes.select("id", "bands"), "id"), "open")
-    left = open_.where("component <> main").select("key", "band", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("bands").alias("bx"))
-    right = open_.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "main", F.col("bands").alias("by"))
+    # a text belongs to the largest family that it meets
+    meets = open_.select("id", "component", "main").distinct()
+    family = meets.groupBy("main").agg(F.count(F.lit(1)).alias("k"))
+    largest = meets.join(family, "main").groupBy("id", "component").agg(F.max(F.struct("k", "main")).alias("m"))
+    texts = common.materialise(largest.select("id", "component", "m.main"), "groups")
+    alike, grouped = _around_centres(texts, sets, percent)
+    each = open_.join(grouped, "id", "left")
+    left = each.where("component <> main").select("key", "band", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("bands").alias("bx"), F.col("group").alias("gx"), F.col("far").alias("fx"))
+    right = each.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "main", F.col("bands").alias("by"), F.col("group").alias("gy"), F.col("far").alias("fy"))
     new = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & _fits("nx", "ny", percent)
+    covered = F.coalesce((F.col("gx") == F.col("gy")) & (F.col("fx") | F.col("fy")), F.lit(False))
     seen = F.arrays_overlap(F.slice("bx", F.lit(1), F.col("band")), F.slice("by", F.lit(1), F.col("band")))
-    rest = left.join(right, "key").where(new & ~seen)
-    # a repeated id may have several lists of bands
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = common.materialise(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
+    rest = left.join(right, "key").where(new & ~covered & ~seen).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    rest = common.materialise(rest.unionAll(alike).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     edges = common.materialise(edges.unionAll(linked(rest, sets, percent)), "links")
     comps = components(edges)
 
-    ids = classes.select("same", "id").join(comps, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
-    named = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(ids, "same", "left")
-    component = F.coalesce("component", "doc_id")
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = classes.select("id", "least").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    ids = named.join(smallest, "component").select(F.col("id").alias("same"), "component", "component_id")
+    done = rows.select("doc_id", "tag", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(ids, "same", "left")
+    smallest = F.coalesce("component_id", "doc_id")
+    kept = F.coalesce(F.col("doc_id") == smallest, F.lit(True))
+    return done.select("doc_id", "n_shingles", smallest.alias("component_id"), kept.alias("kept"), "tag", "component")

@@ -95,7 +95,8 @@ FROM sizes z JOIN reach r ON r.x = z.doc_id GROUP BY z.doc_id, z.n
 """)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate component of every document on two-word shingles."""
-    return minhash.near_duplicates(common.table(spark, folder, "documents", "doc_id", "text"), size=2)
+    found = minhash.near_duplicates(common.table(spark, folder, "documents", "doc_id", "text"), size=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("op7_splitting_tree", r"""
