@@ -37,30 +37,31 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near duplicates (five words, 0.8).
+    """One document of every group of near duplicates (five words, 0.8): the one with the group's smallest id.
 
-    Of repeated rows of that id one stays; rows without an id are in no group and all stay.
+    Repeated rows count once. Texts without words and documents that share only their id are in no common group
+    and all stay; rows without an id are in no group either. Whole texts are compared, whatever their length.
     """
-    found = minhash.near_duplicates(docs.select("doc_id", "text"), size=5)
-    stay = found.where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    one_each = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one_each.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    tag = _unused(docs, "_tag")
+    marked = docs.withColumn(tag, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    found = minhash.near_duplicates(marked.select("doc_id", "text", F.col(tag).alias("tag")), size=5)
+    # of several texts with the group's smallest id the least one; a text without words has no group but itself
+    group = F.coalesce("component", "tag")
+    stay = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy(group.alias("g"), "doc_id").agg(F.min("tag").alias(tag)).select("doc_id", tag)
+    one_each = marked.join(stay, ["doc_id", tag], "left_semi").dropDuplicates(["doc_id", tag])
+    return one_each.unionByName(marked.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of documents as the mix draws them, shuffled inside their shard.
+    """Copies of whole documents as the mix draws them, shuffled inside their shard.
 
-    The last copy drawn of a source ends after the words that are still wanted; n_chars follows the text.
+    The last copy drawn of a source stays if at least half of it is wanted.
     """
     whole = F.struct(*[F.col(c) for c in docs.columns])
     rows = docs.select("doc_id", "source", mixing.word_count("text").alias("size"), whole.alias("_doc"))
-    drawn = mixing.mix(rows).where(F.col("copy").isNotNull())
+    drawn = mixing.mix(rows).where(F.col("copy").isNotNull() & (2 * F.col("words") >= F.col("size")))
     shards = drawn.repartition("shard").sortWithinPartitions("shard", "place")
-    text = F.when(F.col("words") < F.col("size"), mixing.first_words(F.col("_doc.text"), F.col("words"))).otherwise(F.col("_doc.text"))
-    cut = {"text": text, "n_chars": F.when(F.col("words") < F.col("size"), F.char_length(text)).otherwise(F.col("_doc")["n_chars"])
-           if "n_chars" in docs.columns else None}
-    types = dict(docs.dtypes)
-    return shards.select(*[(cut[c] if cut.get(c) is not None else F.col("_doc")[c]).cast(types[c]).alias(c) for c in docs.columns])
+    return shards.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
