@@ -7,11 +7,13 @@ class words share the probability by their smoothed corpus counts, with one unit
 So every text has a proper probability, comparable with the unigram base.
 
 Training runs truncated backpropagation through time in numpy inside the tasks, over all texts of the
-training fold: in each of a fixed number of rounds every task starts from the common parameters, walks
-its share of the texts with the state carried through each, and the parameters of all tasks are averaged,
-those of a word or class by how often each task met it. Scoring walks every text in windows and carries the state
-across them, so the whole text counts. Counts cover all training texts: they are added up in Spark, and
-only rare words travel to meet their counts, the frequent ones being the bounded list.
+training fold, which are dealt to a fixed number of rounds. In each round every task starts from the common
+parameters, walks its share of the round's texts with the state carried through each (again and again until it
+made a minimum of steps, which matters for small inputs only), and the parameters of all tasks are averaged in
+bounded groups, those of a word or class by how often each task met it. Scoring walks every text in windows and
+carries the state across them, so the whole text counts. Counts cover all training texts: they are added up in
+Spark, and only rare words travel to meet their counts, the frequent ones being the bounded list. What a task
+trains on follows from the files it reads, so scores of one corpus in other files differ slightly.
 
 Defined results: null and empty texts are the end token alone; repeated documents count each time; an
 empty training set leaves only unseen words; rows without an id are scored like any other.
@@ -24,6 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +40,13 @@ OWN_WORDS = 2_016                # words the network tells apart
 CLASS_SIZE = 63
 RARE_CLASSES = 32
 HIDDEN, WINDOW = 16, 32
-RATES = (0.01, 0.003)           # one round over the training texts each
-LANES = 16, 512                 # texts a task reads in step, by its tokens
+RATES = (0.02, 0.01, 0.003)     # a round each; the training texts are dealt to the rounds
+LEAST_STEPS = 200               # of a task in a round
+LANES = 16, 512                 # texts a task trains on in step, by its tokens
+SCORED = 1_024                  # texts scored in step
 LANE_TOKENS = 8_192
-ONE_PASS = 20_000_000           # with more tokens than this each round reads its own share of the texts
 _PARTS = 16                     # pieces in which parameters meet
+_AVERAGED = 64                  # tasks whose parameters meet at once
 BLOCK_TOKENS, BLOCK_TEXTS = 3_000_000, 8_000
 _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _TABLE = bytes.maketrans(*_LOWER)
@@ -108,18 +113,27 @@ class Vocabulary:
         own = len(self.own)
         self.symbol_at = np.array([self.index.get(w, -1) if w in self.index else own + rare_class(w) for w in self.counts] + [-1], np.int64)
         self.count_at = np.array([*self.counts.values(), 0], np.float64)
+        # log10(count + 1), and for words without an own symbol that over the mass of their class
+        self.gain_at = np.log10(self.count_at + 1)
+        rare = self.symbol_at >= own
+        self.inside_at = np.where(rare, self.gain_at - np.log10(self.rare_mass)[np.maximum(self.symbol_at - own, 0)], 0.0)
+        self.inside_at[-1] = 0
         self.classes = self.own_classes + RARE_CLASSES
         self.grouping = Grouping(own, self.own_classes)
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, counts) of words; words off the list have count 0 here."""
-        find = self.place.get
-        at = np.fromiter((find(w, -1) for w in words), np.int64, len(words))
+        at, symbols = self.places(words)
+        return symbols, self.count_at[at]
+
+    def places(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the list, -1 off it; symbols) of words."""
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
         symbols = self.symbol_at[at]
         own = len(self.own)
         for i in np.flatnonzero(at < 0).tolist():
             symbols[i] = own + rare_class(words[i])
-        return symbols, self.count_at[at]
+        return at, symbols
 
     def class_of(self, symbols: np.ndarray) -> np.ndarray:
         return self.grouping.class_of(symbols)
@@ -133,8 +147,17 @@ class Vocabulary:
 def vocabulary(counted: DataFrame) -> Vocabulary:
     """Totals and the bounded list of frequent words; ``counted`` should be a written table."""
     sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct")).first()
-    top = counted.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    counts = {bytes(r["word"]): r["n"] for r in top}
+    # counts in steps of about 1 %, so a few thousand rows; the list ends before the step that would overfill it
+    step = F.floor(F.log(F.col("n").cast("double")) * 100).cast("int")
+    least, held = None, 0
+    for r in counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():
+        held += r["k"]
+        if held > FREQUENT:
+            break
+        least = r["n"]
+    top = counted.where(F.col("n") >= least).collect() if least is not None else []
+    counts = {w: n for n, w in sorted((-r["n"], bytes(r["word"])) for r in top)}
+    counts = {w: -n for w, n in counts.items()}
     own = list(counts)[:OWN_WORDS]
 
     @F.arrow_udf("int")
@@ -153,12 +176,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """In place, by rows."""
-    z -= z.max(1, keepdims=True)
+def _exp(z: np.ndarray) -> np.ndarray:
+    """exp in place, and the sums of the rows; _Adam keeps logits where exp is finite."""
     np.exp(z, out=z)
-    z *= 1 / z.sum(1, keepdims=True)
-    return z
+    return z @ np.ones(z.shape[1], z.dtype)
 
 
 class Network:
@@ -196,33 +217,27 @@ class Network:
         c = np.tanh(x[:, 2 * n:] + (g[:, :n] * h) @ self.u_c)
         return h + g[:, n:] * (c - h)
 
+    def _by_class(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order of rows by class, first row of every own class and the end of the last)."""
+        order = np.argsort(classes.astype(np.int16), kind="stable")
+        return order, np.searchsorted(classes[order], np.arange(self.own_classes + 1))
+
     def log_probs(self, h: np.ndarray, symbols: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Natural log P(symbol | state); for a rare class the probability of the class."""
+        order, bounds = self._by_class(classes)
+        h, symbols, classes = h[order], symbols[order], classes[order]
         z = h @ self.out_c + self.bias_c
-        out = z[np.arange(len(z)), classes] - np.log(np.exp(z).sum(1))
-        order = np.argsort(classes, kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(self.own_classes + 1))
-        for k in range(self.own_classes):
-            rows = order[bounds[k]:bounds[k + 1]]
-            if len(rows):
-                z = h[rows] @ self.out_w[k] + self.bias_w[k]
-                out[rows] += z[np.arange(len(rows)), symbols[rows] - k * CLASS_SIZE] - np.log(np.exp(z).sum(1))
+        got = z[np.arange(len(z)), classes]
+        got -= np.log(_exp(z))
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            rows = slice(bounds[k], bounds[k + 1])
+            z = h[rows] @ self.out_w[k] + self.bias_w[k]
+            got[rows] += z[np.arange(len(z)), symbols[rows] - k * CLASS_SIZE]
+            got[rows] -= np.log(_exp(z))
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
-    def train(self, streams: np.ndarray, vocabulary: Vocabulary, epochs: int = 2, rate: float = 0.01) -> None:
-        """Adam on windows of token streams (lanes x time); the state is carried from window to window."""
-        adam = _Adam(self)
-        lanes, length = streams.shape
-        windows = list(range(0, length - 1, WINDOW))
-        for epoch in range(epochs):
-            h = np.zeros((lanes, self.hidden), np.float32)
-            for a in windows:
-                part = streams[:, a:a + WINDOW + 1]
-                if part.shape[1] < 2:
-                    continue
-                grads, h = self._window(part, h, vocabulary)
-                adam.step(grads, rate * (1 - 0.9 * (adam.t + 1) / (epochs * len(windows) + 1)))
-
     def flat(self) -> np.ndarray:
         """All parameters in a line."""
         return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
@@ -253,28 +268,26 @@ class Network:
         at = np.flatnonzero(target >= 0)
         if len(at) < len(target):
             states, target = states[at], target[at]
-        classes = v.class_of(target)
         size = len(target)
-        p = _softmax(states @ self.out_c + self.bias_c)
-        p[np.arange(size), classes] -= 1
-        p /= size
+        classes = v.class_of(target)
+        order, bounds = self._by_class(classes)
+        states, target, classes = states[order], target[order], classes[order]
+        p = states @ self.out_c + self.bias_c
+        p *= (1 / (size * _exp(p)))[:, None]
+        p[np.arange(size), classes] -= 1 / size
         d = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         d["out_c"], d["bias_c"] = states.T @ p, p.sum(0)
         real = p @ self.out_c.T
-        order = np.argsort(classes, kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(self.own_classes + 1))
         for k in np.flatnonzero(np.diff(bounds)).tolist():
-            rows = order[bounds[k]:bounds[k + 1]]
+            rows = slice(bounds[k], bounds[k + 1])
             read = states[rows]
-            q = _softmax(read @ self.out_w[k] + self.bias_w[k])
-            q[np.arange(len(rows)), target[rows] - k * CLASS_SIZE] -= 1
-            q /= size
+            q = read @ self.out_w[k] + self.bias_w[k]
+            q *= (1 / (size * _exp(q)))[:, None]
+            q[np.arange(len(q)), target[rows] - k * CLASS_SIZE] -= 1 / size
             d["out_w"][k], d["bias_w"][k] = read.T @ q, q.sum(0)
             real[rows] += q @ self.out_w[k].T
-        back = real
-        if size < steps * lanes:
-            back = np.zeros((steps * lanes, n), real.dtype)
-            back[at] = real
+        back = np.zeros((steps * lanes, n), real.dtype)
+        back[at[order]] = real
         back = back.reshape(steps, lanes, n)
         dh = np.zeros((lanes, n), back.dtype)
         dx = np.empty((steps, lanes, 3 * n), back.dtype)
@@ -296,7 +309,7 @@ class Network:
         d["u"] += before.reshape(-1, n).T @ all_dx[:, :2 * n]
         d["b"] = dx.sum((0, 1))
         read = part[:, :-1].T.ravel()
-        order = np.argsort(read, kind="stable")
+        order = np.argsort(read.astype(np.int16), kind="stable")
         met, first = np.unique(read[order], return_index=True)
         d["w_in"][met] += np.add.reduceat(dx.reshape(-1, 3 * n)[order], first)     # nothing flows back to -1
         return d, h
@@ -319,6 +332,10 @@ class _Adam:
             s *= 0.99
             s += 0.01 * g * g
             getattr(self.network, k)[...] -= ((rate * first) * m / (np.sqrt(second * s) + 1e-6)).astype(np.float32)
+        net = self.network
+        # states are below 1, so no logit exceeds 64 + 20
+        for a, low, high in ((net.out_c, -64 / net.hidden, 64 / net.hidden), (net.out_w, -64 / net.hidden, 64 / net.hidden), (net.bias_c, -60, 20), (net.bias_w, -60, 20)):
+            np.clip(a, low, high, out=a)
 
 
 class Lanes:
@@ -332,7 +349,7 @@ class Lanes:
         self._h = np.zeros((lanes, network.hidden), np.float32)
         self._held = [[np.array([end], np.int16)] for _ in range(lanes)]
         self._ends = [(0, i) for i in range(lanes)]         # targets dealt to a lane so far
-        self._done = self.tokens = 0
+        self._done = self.tokens = self.steps = 0
         self.read = np.zeros(len(network.w_in), np.int64)
         self.classes = np.zeros(max(network.own_classes, 1), np.int64)
 
@@ -357,6 +374,7 @@ class Lanes:
             for i, x in enumerate(live):
                 part[i, :len(x)] = x
             self._walk(part)
+        self._done, self._ends = 0, [(0, i) for i in range(len(lines))]
 
     def _walk(self, part: np.ndarray) -> None:
         for a in range(0, part.shape[1] - 1, WINDOW):
@@ -366,6 +384,7 @@ class Lanes:
             target = now[:, 1:][now[:, 1:] >= 0]
             share = len(target) / (len(self._h) * WINDOW)   # a few tokens move the parameters less
             self._adam.step(grads, self._rate * share ** 0.5)
+            self.steps += 1
             self.tokens += len(target)
             self.read += np.bincount(now[:, :-1][now[:, 1:] >= 0], minlength=len(self.read))
             self.classes += np.bincount(np.minimum(self._grouping.class_of(target), len(self.classes)), minlength=len(self.classes) + 1)[:-1]
@@ -394,18 +413,25 @@ class Model:
 
 
 def _log_likelihoods(network: Network, grouping: Grouping, end: int, texts: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of the symbols of every text, all texts in step, state kept across windows."""
+    """Natural log probability of the symbols of every text, state kept across windows; texts of like length in step."""
+    out = np.zeros(len(texts))
+    order = np.array(sorted(range(len(texts)), key=lambda i: -len(texts[i])), np.int64)
+    for a in range(0, len(order), SCORED):
+        out[order[a:a + SCORED]] = _in_step(network, grouping, end, [texts[i] for i in order[a:a + SCORED]])
+    return out
+
+
+def _in_step(network: Network, grouping: Grouping, end: int, texts: list[np.ndarray]) -> np.ndarray:
+    """The same for texts in order of falling length."""
     out = np.zeros(len(texts))
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     h = np.zeros((len(texts), network.hidden), np.float32)
     last = np.full(len(texts), end, np.int64)
-    lengths = np.array([len(texts[i]) for i in order])
-    at = 0
-    while len(lengths) and at < lengths[0]:
+    lengths = np.array([len(x) for x in texts])
+    for at in range(0, lengths[0], WINDOW):
         live = int(np.searchsorted(-lengths, -at, "left"))          # texts longer than ``at``
         part = np.full((WINDOW, live), -1, np.int64)
         for j in range(live):
-            piece = texts[order[j]][at:at + WINDOW]
+            piece = texts[j][at:at + WINDOW]
             part[:len(piece), j] = piece
         states = np.empty((WINDOW, live, network.hidden), np.float32)
         state, before = h[:live], last[:live]
@@ -420,30 +446,33 @@ def _log_likelihoods(network: Network, grouping: Grouping, end: int, texts: list
         real = part.ravel() >= 0
         target = part.ravel()[real]
         got = network.log_probs(states.reshape(-1, network.hidden)[real], target, grouping.class_of(target))
-        out[order[:live]] += np.bincount(np.flatnonzero(real) % live, got, live)
-        at += WINDOW
+        out[:live] += np.bincount(np.flatnonzero(real) % live, got, live)
     return out
 
 
 def fit(coded: DataFrame, v: Vocabulary, rates: tuple[float, ...] = RATES) -> Model:
-    """Train on all texts of ``coded`` (row, symbols), one round per rate.
-
-    Every round reads all texts of a small corpus; in a large one each text is read once, in the round its
-    row number names.
-    """
+    """Train on all texts of ``coded`` (row, symbols), one round per rate; each text is read in one of the rounds."""
     network, grouping, end = Network(v), v.grouping, v.end
-    shares = len(rates) if v.total > ONE_PASS else 1
-    width = int(np.clip(v.total // shares // max(coded.rdd.getNumPartitions(), 1) // LANE_TOKENS, *LANES))
+    tasks, rounds = max(coded.rdd.getNumPartitions(), 1), len(rates)
+    width = int(np.clip(v.total // rounds // tasks // LANE_TOKENS, *LANES))
     for i, rate in enumerate(rates):
         start = network.flat()
 
         def run(batches: Iterator[pa.RecordBatch], rate: float = rate) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
             lanes = Lanes(network, grouping, end, rate, width)
+            held: list[np.ndarray] = []
             for batch in batches:
                 for raw in batch.column(0).to_pylist():
-                    lanes.add(np.frombuffer(raw, np.int16))
+                    text = np.frombuffer(raw, np.int16)
+                    lanes.add(text)
+                    if lanes.steps < LEAST_STEPS:
+                        held.append(text)
             lanes.close()
+            while held and lanes.steps < LEAST_STEPS:
+                for text in held:
+                    lanes.add(text)
+                lanes.close()
             if lanes.tokens:
                 weight = lanes.weights()
                 pieces = [np.array_split(x, _PARTS) for x in (network.flat() * weight, weight)]
@@ -451,29 +480,37 @@ def fit(coded: DataFrame, v: Vocabulary, rates: tuple[float, ...] = RATES) -> Mo
                     pa.array(range(_PARTS), pa.int32()), pa.array([TaskContext.get().partitionId()] * _PARTS, pa.int64()),
                     *[pa.array([x.tobytes() for x in p], pa.binary()) for p in pieces]], names=["part", "task", "value", "weight"])
 
-        def averaged(key: tuple, table: pa.Table) -> pa.Table:
-            value, weight = 0.0, 0.0
-            rows = sorted(table.to_pylist(), key=lambda r: r["task"])
-            for r in rows:
-                value, weight = value + np.frombuffer(r["value"]), weight + np.frombuffer(r["weight"])
-            with np.errstate(invalid="ignore"):
-                return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "value": pa.array([(value / weight).tobytes()], pa.binary())})
-
-        sums = coded.where(F.col("row") % shares == i % shares).select("symbols").mapInArrow(run, "part int, task long, value binary, weight binary")
-        got = sums.groupBy("part").applyInArrow(averaged, "part int, value binary").collect()       # _PARTS rows
+        shape = "part int, task long, value binary, weight binary"
+        sums, left = coded.where(F.expr(f"pmod(row, {rounds}) = {i}")).select("symbols").mapInArrow(run, shape), tasks
+        while left > 1:                                     # at most _AVERAGED rows meet, in the order of their tasks
+            left = -(-left // _AVERAGED)
+            sums = sums.groupBy("part", F.expr(f"task div {_AVERAGED}").alias("of")).applyInArrow(_added, shape)
+        got = sorted(sums.collect())                        # _PARTS rows
         if got:
-            line = np.concatenate([np.frombuffer(r["value"]) for r in sorted(got, key=lambda r: r["part"])])
-            network.set_flat(np.where(np.isnan(line), start, line))
+            value, weight = (np.concatenate([np.frombuffer(r[c]) for r in got]) for c in ("value", "weight"))
+            network.set_flat(np.where(weight > 0, value / np.maximum(weight, 1), start))
     return Model(v, network)
 
 
+def _added(key: tuple, table: pa.Table) -> pa.Table:
+    """Sums of the parameters and weights of some tasks."""
+    order = np.argsort(table["task"].to_numpy(), kind="stable").tolist()
+    added = {}
+    for c in ("value", "weight"):
+        total: np.ndarray | float = 0.0
+        for i in order:
+            total = total + np.frombuffer(table[c][i].as_buffer())
+        added[c] = pa.array([total.tobytes()], pa.binary())
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int64()), **added})
+
+
 def encode(documents: DataFrame, v: Vocabulary) -> DataFrame:
     """All rows of ``documents`` in symbols, written once for training and scoring.
 
     Rows get an ordinal of their own. Frequent words are looked up where the text is (kind 0); another word is
     listed once per block of texts together with the texts of the block that hold it (kind 1).
     """
-    rare_mass = v.rare_mass
+    log_mass = np.log10(v.rare_mass)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -487,16 +524,15 @@ def encode(documents: DataFrame, v: Vocabulary) -> DataFrame:
 
         def read(doc_id: int | None, text: str | None) -> None:
             words = [*words_of(text), end]
-            s, c = v.look_up(words)
-            listed, gain = c > 0, np.log10(c + 1)
-            rare = s >= own
+            at, s = v.places(words)
+            off = np.flatnonzero(at < 0)
             # inside a rare class: count over mass; counts of words off the list follow later
-            inside = gain[rare].sum() - np.log10(rare_mass[s[rare] - own]).sum()
-            for j in np.flatnonzero(~listed).tolist():
+            inside = v.inside_at[at].sum() - log_mass[s[off] - own].sum()
+            for j in off.tolist():
                 places.setdefault(words[j], []).append(len(ids))
             ids.append(doc_id)
             symbols.append(s.astype(np.int16))
-            sums.append((int(listed.sum()), float(gain.sum()), float(inside)))
+            sums.append((len(words) - len(off), float(v.gain_at[at].sum()), float(inside)))
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal block, size
