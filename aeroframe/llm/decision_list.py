@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from aeroframe.llm import common, textstats
 
 MAX_TRAINING_ROWS = 20_000
+LEAST_SUPPORT = 3                # rejected rows that a rule must find among those it was not grown on
 
 
 @dataclass(frozen=True)
@@ -79,13 +80,16 @@ def _worth(rule: Rule, x: np.ndarray, y: np.ndarray) -> float:
 
 def learn(x: np.ndarray, reject: np.ndarray, max_rules: int = 16, max_conditions: int = 4, precision: float = 0.9,
           cuts: int = 200) -> list[Rule]:
-    """Ordered rules for ``reject``; each must keep the given precision on rows it was not grown on."""
+    """Ordered rules for ``reject``; each must keep the given precision on rows it was not grown on.
+
+    The rows of a rule that misses it are set aside while further rules grow; they still count against those.
+    """
     rules: list[Rule] = []
     prune = np.arange(len(x)) % 3 == 2
-    open_ = np.ones(len(x), bool)
-    while len(rules) < max_rules:
-        grow = open_ & ~prune
-        if not reject[grow].any() or not reject[open_ & prune].any():
+    open_, aside = np.ones(len(x), bool), np.zeros(len(x), bool)
+    for _ in range(4 * max_rules):
+        grow = open_ & ~prune & ~aside
+        if len(rules) == max_rules or not reject[grow].any() or not reject[open_ & prune].any():
             break
         gx, gy, rule = x[grow], reject[grow], ()
         while len(rule) < max_conditions and gy.any() and not gy.all():
@@ -100,18 +104,23 @@ def learn(x: np.ndarray, reject: np.ndarray, max_rules: int = 16, max_conditions
         if not worth:
             break
         rule = rule[:int(np.argmax(worth)) + 1]
-        if (max(worth) + 1) / 2 < precision:
-            break
+        covered = _covers(rule, x)
+        if (max(worth) + 1) / 2 < precision or (covered & reject & open_ & prune).sum() < LEAST_SUPPORT:
+            aside |= covered
+            continue
         rules.append(rule)
-        open_ &= ~_covers(rule, x)
+        open_ &= ~covered
     return rules
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> list[Rule]:
-    """Learn from at most ``max_rows`` labelled documents; only their statistics reach the driver."""
+    """Learn from at most ``max_rows`` labelled documents, those that the base rule does not reject anyway.
+
+    Only their statistics reach the driver.
+    """
     rows = common.labelled(documents, labels, label, max_rows)
     measured = rows.select("doc_id", "label", textstats.statistics("text").alias("s"))
-    got = measured.select("doc_id", "label", *[F.col("s")[f].alias(f) for f in textstats.FEATURES]).toPandas()
+    got = measured.where(~base_failed(F.col("s"))).select("doc_id", "label", *[F.col("s")[f].alias(f) for f in textstats.FEATURES]).toPandas()
     got = got.sort_values(["doc_id", *textstats.FEATURES], kind="stable")
     x = got[list(textstats.FEATURES)].to_numpy(float).reshape(-1, len(textstats.FEATURES))
     return learn(x, got["label"].to_numpy() == 0)
