@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window, functions as F, types as T
 
 from aeroframe.catalog.registry import query, r, sql_r
-from aeroframe.operators import filters, ml, scoring, split
+from aeroframe.operators import ensembles, filters, ml, scoring, split
 from aeroframe.operators.sizes import attach_row
 from aeroframe.plans import flows
 from aeroframe.session import shared_dir
@@ -282,14 +282,14 @@ def fold_sizes(t):
 
 
 @query("tune_models", f"""SELECT model, CAST(n AS BIGINT) AS n_points, TRUE AS beats_mean FROM
- (VALUES ('{ml.FOREST}', 6), ('{ml.EXTRA}', 6), ('{ml.BOOSTED}', 8)) m(model, n)""")
+ (VALUES ('{ml.FOREST}', 72), ('{ml.EXTRA}', 72), ('{ml.BOOSTED}', 162)) m(model, n)""")
 def tune_models(t):
-    """The whole compact grid; the expanded one has 306 points."""
+    """The expanded grid of 306 points, which the search takes from 100 rows on."""
     train, _ = _halves(t)
     prep = ml.fit_preprocessing(train, _NUM)
-    frame = prep.transform(ml.as_doubles(train, _NUM)).select("features", F.col("aqi").alias("label"))
+    frame = prep.transform(ml.as_doubles(train, _NUM)).select(F.col("ordinal").alias("id"), vector_to_array("features").alias("features"), F.col("aqi").alias("label"))
     spread = frame.agg(F.stddev_pop("label")).scalar()
-    return ml.tune_models(frame, ml.tuning_grids("compact")).select("model", "n_points", (F.col("best_rmse") < spread).alias("beats_mean"))
+    return ensembles.best_points(ensembles.search(frame)).select("model", "n_points", (F.col("best_rmse") < spread).alias("beats_mean"))
 
 
 @query("model_flow", f"WITH {_HALVES} SELECT count(*) AS n, TRUE AS fits, TRUE AS unbiased FROM test")

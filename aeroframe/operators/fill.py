@@ -1,16 +1,17 @@
 """Missing-value strategies per station, in (time, ordinal) order.
 
-A station's series is cut into time chunks, its rows without a time into pages of ordinals. Windows run
+A station's series is cut into time chunks, its rows without a time into pages of ordinals, and so are the rows
+without a station, which belong to no series and keep their values. Windows run
 inside a chunk; what a chunk needs from its neighbours (last and next known value, row counts) comes from
 a summary with one row per chunk. A station that holds most rows is thus spread over as many tasks as it
-has chunks. Rows without a station belong to no series: they pass through unchanged and unshuffled.
+has chunks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aeroframe import values as V
 from aeroframe.operators.orderstat import exact_quantiles, wide_quantiles
@@ -20,18 +21,17 @@ from aeroframe.operators.sizes import attach_row
 _PAGE_BITS = 16                      # rows without a time: ordinals per page
 
 
-def _chunked(df: DataFrame, ts: str, chunk: str, ordinal: str) -> DataFrame:
+def _chunked(df: DataFrame, station: str, ts: str, chunk: str, ordinal: str) -> DataFrame:
     """Add ``_chunk``, which sorts by time, rows without a time last."""
-    untimed = F.col(ts).isNull()
+    untimed = F.col(ts).isNull() | F.col(station).isNull()
     page = F.when(untimed, F.shiftright(F.col(ordinal).cast("long"), _PAGE_BITS))
     return df.withColumn("_chunk", F.struct(
-        untimed.alias("untimed"), F.date_trunc(chunk, F.col(ts)).alias("begin"), page.alias("page")))
+        untimed.alias("untimed"), F.when(~untimed, F.date_trunc(chunk, F.col(ts))).alias("begin"), page.alias("page")))
 
 
-def _per_station(df: DataFrame, station: str, filled) -> DataFrame:
-    """Apply ``filled`` to the rows that have a station."""
-    known = F.col(station).isNotNull()
-    return filled(df.where(known)).unionByName(df.where(~known))
+def _of_station(station: str, filled: Column, c: str) -> Column:
+    """The filled value for rows that have a station, the column's own for others."""
+    return F.when(F.col(station).isNotNull(), filled).otherwise(F.col(c))
 
 
 def _with_positions(df: DataFrame, station: str, ts: str, ordinal: str) -> DataFrame:
@@ -76,16 +76,12 @@ def _rejoin(placed: DataFrame, carries: DataFrame, station: str) -> DataFrame:
 def forward_fill(df: DataFrame, columns: Sequence[str], station: str = "station_id", ts: str = "ts",
                  ordinal: str = "ordinal", chunk: str = "day") -> DataFrame:
     """Last known value of the station; leading nulls stay, and so do rows without a station."""
-    return _per_station(df, station, lambda rows: _forward_fill(rows, columns, station, ts, ordinal, chunk))
-
-
-def _forward_fill(df, columns, station, ts, ordinal, chunk):
-    placed = _with_positions(_chunked(df, ts, chunk, ordinal), station, ts, ordinal)
+    placed = _with_positions(_chunked(df, station, ts, chunk, ordinal), station, ts, ordinal)
     narrow = placed.select(station, "_chunk", "_pos", *columns)
     joined = _rejoin(placed, _carries(narrow, station, columns, both=False), station)
     upto = Window.partitionBy(station, "_chunk").orderBy("_pos").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_prev_{c}.v")) for c in columns}
+    filled = {c: _of_station(station, F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_prev_{c}.v")), c) for c in columns}
     return joined.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
@@ -95,11 +91,7 @@ def interpolate(df: DataFrame, columns: Sequence[str], station: str = "station_i
 
     Rows without a station stay as they are.
     """
-    return _per_station(df, station, lambda rows: _interpolate(rows, columns, station, ts, ordinal, chunk))
-
-
-def _interpolate(df, columns, station, ts, ordinal, chunk):
-    placed = _with_positions(_chunked(df, ts, chunk, ordinal), station, ts, ordinal)
+    placed = _with_positions(_chunked(df, station, ts, chunk, ordinal), station, ts, ordinal)
     narrow = placed.select(station, "_chunk", "_pos", *columns)
     joined = _rejoin(placed, _carries(narrow, station, columns, both=True), station)
     joined = joined.withColumn("_at", F.col("_pos") + F.col("_base"))
@@ -117,18 +109,18 @@ def _interpolate(df, columns, station, ts, ordinal, chunk):
         a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
         slope = (b["v"] - a["v"]) * (F.col("_at") - a["p"]) / (b["p"] - a["p"])
         between = F.when(b["p"] == a["p"], a["v"]).otherwise(a["v"] + slope)
-        filled[c] = F.coalesce(F.col(c), between, a["v"], b["v"])
+        filled[c] = _of_station(station, F.coalesce(F.col(c), between, a["v"], b["v"]), c)
     return bounded.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
 def station_median(df: DataFrame, columns: Sequence[str], station: str = "station_id") -> DataFrame:
     """Null becomes the station's median; a station without values and rows without a station keep theirs."""
-    return _per_station(df, station, lambda rows: _station_median(rows, columns, station))
-
-
-def _station_median(df, columns, station):
-    medians = wide_quantiles(exact_quantiles(df, columns, [0.5], by=[station]), columns, {0.5: "median"}, [station])
-    joined = df.join(medians, station, "left")
+    known = df.where(F.col(station).isNotNull())
+    medians = wide_quantiles(exact_quantiles(known, columns, [0.5], by=[station]), columns, {0.5: "median"}, [station])
+    # rows without a station match nothing; a key of their own per page keeps them from meeting in one task
+    lost = F.when(F.col(station).isNull(), F.pmod(F.xxhash64(*columns), F.lit(4096))).otherwise(-1)
+    right = medians.withColumnRenamed(station, "_s").withColumn("_k", F.lit(-1).cast("long"))
+    joined = df.withColumn("_lost", lost).join(right, F.col(station).eqNullSafe(F.col("_s")) & (F.col("_lost") == F.col("_k")), "left")
     return joined.select(*[
         F.coalesce(F.col(c), F.col(f"{c}_median")).alias(c) if c in columns else F.col(c) for c in df.columns])
 
