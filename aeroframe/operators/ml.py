@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import (
     Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler,
 )
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from aeroframe import values as V
 from aeroframe.operators.scoring import regression_metrics
@@ -168,35 +171,97 @@ def compare_models(train: DataFrame, validation: DataFrame, numeric: Sequence[st
     rows = []
     with held(ready(train)) as fit_on, held(ready(validation)) as judge_on:
         for name, model in (models or regressors()).items():
-            try:
-                scored = model.fit(fit_on).transform(judge_on).withColumnsRenamed({"label": "actual", "prediction": "predicted"})
-                got = regression_metrics(scored).first()
-                rows.append((name, got["rmse"], got["mae"], got["r2"], None))
-            except _UNFIT as e:
-                rows.append((name, None, None, None, str(e).split("\n")[0]))
+            rows.append((name, *_measured(model, fit_on, judge_on)))
     return train.sparkSession.createDataFrame(rows, "model string, rmse double, mae double, r2 double, error string")
 
 
+def _measured(model, fit_on: DataFrame, judge_on: DataFrame) -> tuple:
+    """(rmse, mae, r2, error) of a model fitted on one frame of (features, label) and judged on another."""
+    try:
+        scored = model.fit(fit_on).transform(judge_on).withColumnsRenamed({"label": "actual", "prediction": "predicted"})
+        got = regression_metrics(scored).first()
+        return got["rmse"], got["mae"], got["r2"], None
+    except _UNFIT as e:
+        return None, None, None, str(e).split("\n")[0]
+
+
 def with_folds(df: DataFrame, row_id: str, k: int = 5, seed: int = V.SEED) -> DataFrame:
     """Deterministic fold number per row, without a shuffle."""
     digest = F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.lit(str(seed))).cast("binary"))
     return df.withColumn("fold", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % k).cast("int"))
 
 
+@dataclass(frozen=True)
+class Moments:
+    """Rows, known values, their mean and sum of squared deviations."""
+
+    rows: int = 0
+    known: int = 0
+    mean: float = 0.0
+    squares: float = 0.0
+
+    def __add__(self, other: Moments) -> Moments:
+        n = self.known + other.known
+        apart = other.mean - self.mean
+        return Moments(self.rows + other.rows, n, self.mean + apart * other.known / n if n else 0.0,
+                       self.squares + other.squares + (apart * apart * self.known * other.known / n if n else 0.0))
+
+    @property
+    def deviation(self) -> float:
+        """Sample deviation of the column once its nulls are the mean."""
+        return (self.squares / (self.rows - 1)) ** 0.5 if self.rows > 1 else 0.0
+
+
+def fold_moments(folded: DataFrame, columns: Sequence[str]) -> dict[int, dict[str, Moments]]:
+    """Moments per fold and column from one scan (an action; one row per fold)."""
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(columns):
+        x = F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
+    found = folded.groupBy("fold").agg(*aggs).collect()
+    return {r["fold"]: {c: Moments(r["rows"], r[f"n{i}"], r[f"m{i}"] or 0.0, (r[f"v{i}"] or 0.0) * r[f"n{i}"]) for i, c in enumerate(columns)} for r in found}
+
+
+def training_moments(per_fold: dict[int, dict[str, Moments]], fold: int, columns: Sequence[str]) -> dict[str, Moments]:
+    """What all folds but one hold together."""
+    return {c: sum((m[c] for f, m in sorted(per_fold.items()) if f != fold), Moments()) for c in columns}
+
+
+def standardised(df: DataFrame, moments: dict[str, Moments], target: str) -> DataFrame:
+    """(features, label): nulls are the mean, every column is centred and scaled; one without spread is 0."""
+    def scaled(c: str, m: Moments) -> Column:
+        x = F.col(c).cast("double")
+        return F.when(x.isNull() | F.isnan(x) | F.lit(m.deviation == 0), F.lit(0.0)).otherwise((x - F.lit(m.mean)) / F.lit(m.deviation or 1.0))
+
+    return df.select(array_to_vector(F.array(*[scaled(c, m) for c, m in moments.items()])).alias("features"), F.col(target).cast("double").alias("label"))
+
+
 def cross_validate(df: DataFrame, numeric: Sequence[str], target: str, row_id: str, k: int = 5,
-                   models: dict[str, object] | None = None) -> DataFrame:
-    """Per model and fold rmse, mae and r2, preprocessing fitted inside each fold; failures are infinite."""
+                   models: dict[str, object] | None = None, parallelism: int = 4) -> DataFrame:
+    """Per model and fold rmse, mae and r2, preprocessing fitted inside each fold; failures are infinite.
+
+    One scan gives the moments of all folds, from which each fold's training moments are added up; models and
+    folds are fitted ``parallelism`` at a time (actions).
+    """
     spark = df.sparkSession
-    folded = with_folds(df, row_id, k)
-    rows = None
-    for fold in range(k):
-        train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-        scores = compare_models(train, test, numeric, target, models)
-        part = scores.select(
-            "model", F.lit(fold + 1).alias("fold"), "error", F.coalesce("rmse", F.lit(float("inf"))).alias("rmse"),
-            F.coalesce("mae", F.lit(float("inf"))).alias("mae"), F.coalesce("r2", F.lit(float("-inf"))).alias("r2"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    models = models or regressors()
+    with held(with_folds(df, row_id, k).select("fold", *numeric, target)) as folded:
+        per_fold = fold_moments(folded, numeric)
+        sides = {}
+        for fold in range(k):
+            moments = training_moments(per_fold, fold, numeric)
+            sides[fold] = [standardised(folded.where(F.col("fold") != fold), moments, target).persist(StorageLevel.MEMORY_AND_DISK),
+                           standardised(folded.where(F.col("fold") == fold), moments, target).persist(StorageLevel.MEMORY_AND_DISK)]
+        try:
+            work = [(name, fold) for fold in range(k) for name in models]
+            with ThreadPool(min(parallelism, len(work))) as pool:
+                got = pool.map(inheritable_thread_target(spark)(lambda w: (*w, *_measured(models[w[0]].copy(), *sides[w[1]]))), work)
+        finally:
+            for frame in (f for pair in sides.values() for f in pair):
+                frame.unpersist()
+    inf = float("inf")
+    rows = [(name, fold + 1, error, *(a if a is not None else b for a, b in zip(metrics, (inf, inf, -inf)))) for name, fold, *metrics, error in got]
+    return spark.createDataFrame(rows, "model string, fold int, error string, rmse double, mae double, r2 double")
 
 
 def tuning_grids(size: str = "expanded", label: str = "label") -> dict[str, tuple[object, list]]:
