@@ -7,7 +7,7 @@ Rows with equal sets collapse to one class first. Each class is compared with th
 often, then with some texts of the main component around it. What then shares a bucket but not yet a component
 is a text that is alike without reaching the threshold. In a large group such texts are described by their
 differences from a common centre: two of them can only be linked if they share a stated number of differences, so
-each lists its rarest differences, as many as prefix filtering needs, and only texts that meet in one are compared.
+each lists its first differences, as many as prefix filtering needs, and only texts that meet in one are compared.
 A family of m texts needs about m comparisons, not m * m, and every candidate pair ends compared, connected or
 excluded by that bound. A pair at similarity 0.8 misses all 32 bands of 4 with probability 5e-8.
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from aeroframe.llm import common, shingles
 
@@ -170,22 +170,30 @@ def _centres(texts: DataFrame, sets: DataFrame) -> DataFrame:
     return cores.groupBy("main").agg(F.sort_array(F.collect_list("x")).alias("core"))
 
 
-def _difference(own: str, core: str) -> F.Column:
-    """Number of the centre's shingles that a text lacks, and all shingles that only one of both has."""
+def _differences(own: str, core: str, percent: int) -> F.Column:
+    """far, listed, asked and the first differences of a text from its centre, as ``_around_centres`` needs them.
 
-    @F.arrow_udf("struct<missing int, apart array<long>>")
-    def difference(own: pa.Array, core: pa.Array) -> pa.Array:
-        missing, apart = [], []
+    Shingles that the centre does not have come first: they are the rare ones.
+    """
+
+    @F.arrow_udf("struct<far long, listed int, asked int, first array<long>>")
+    def differences(own: pa.Array, core: pa.Array) -> pa.Array:
+        rows: list[tuple[int, int, int, np.ndarray]] = []
         ends = np.cumsum(core.value_lengths().to_numpy())
         flat, at = core.flatten().to_numpy(), 0
         for x, end in zip(own.to_pylist(), ends.tolist()):
             x, y, at = np.frombuffer(x, np.int64), flat[at:end], end
-            either = np.setxor1d(x, y, assume_unique=True)
-            apart.append(either)
-            missing.append((len(either) + len(y) - len(x)) // 2)
-        return pa.StructArray.from_arrays([pa.array(missing, pa.int32()), pa.array(apart, pa.list_(pa.int64()))], names=["missing", "apart"])
+            added, missing = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+            n, weight = len(added) + len(missing), 100 * len(missing) + percent * len(added)
+            far = weight - (100 - percent) * len(y)
+            listed = n + (weight + 1) // -(100 + percent) + 1
+            asked = n + far // -100 + 1 if far > 0 else 0
+            rows.append((far, listed, asked, np.concatenate((np.sort(added), np.sort(missing)))[:max(listed, asked, 0)]))
+        columns = list(zip(*rows)) or [[]] * 4
+        types = {"far": pa.int64(), "listed": pa.int32(), "asked": pa.int32(), "first": pa.list_(pa.int64())}
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
 
-    return difference.asNondeterministic()(own, core)
+    return differences.asNondeterministic()(own, core)
 
 
 def _around_centres(texts: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -197,21 +205,14 @@ def _around_centres(texts: DataFrame, sets: DataFrame, percent: int) -> tuple[Da
     If far > 0 then 100 o >= far as well. Prefix filtering: of d differences in any common order, one of the
     first d - o + 1 is shared. Pairs of two texts with far <= 0 are not covered.
     """
-    known = texts.join(_centres(texts, sets), "main").join(sets, "id").withColumn("d", _difference("shingles", "core"))
-    a, all_ = F.col("d.missing"), F.size("d.apart")
-    weight = (100 * a + percent * (all_ - a)).cast("long")
-    far = weight - (100 - percent) * F.size("core")
-    spread = common.materialise(known.select(
-        "id", "component", "main", far.alias("far"), (all_ - F.ceil((weight + 1) / (100 + percent)) + 1).alias("listed"),
-        F.when(far > 0, all_ - F.ceil(far / 100) + 1).otherwise(0).alias("asked"), F.col("d.apart").alias("apart")), "differences")
-    each = spread.select("id", "component", "main", "listed", "asked", F.explode("apart").alias("x"))
-    met = each.groupBy("main", "x").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    order = Window.partitionBy("id").orderBy("k", "x")
-    placed = each.join(met, ["main", "x"]).withColumn("place", F.row_number().over(order))
+    known = texts.join(_centres(texts, sets), "main").join(sets, "id").withColumn("d", _differences("shingles", "core", percent))
+    spread = common.materialise(known.select("id", "component", "main", "d.*"), "differences")
+    each = spread.select("id", "component", "main", "listed", "asked", F.posexplode("first").alias("place", "x"))
+    met = each.groupBy("main", "x").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
     # differences of one component only lead nowhere
-    placed = common.materialise(placed.where("c0 <> c1 and place <= greatest(listed, asked)").drop("c0", "c1", "k"), "rarest")
-    asks = placed.where("place <= asked").select("main", "x", F.col("id").alias("i"), F.col("component").alias("ci"))
-    lists = placed.where("place <= listed").select("main", "x", F.col("id").alias("j"), F.col("component").alias("cj"))
+    placed = common.materialise(each.join(met.select("main", "x"), ["main", "x"]), "first-differences")
+    asks = placed.where("place < asked").select("main", "x", F.col("id").alias("i"), F.col("component").alias("ci"))
+    lists = placed.where("place < listed").select("main", "x", F.col("id").alias("j"), F.col("component").alias("cj"))
     pairs = asks.join(lists, ["main", "x"]).where("ci <> cj").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
     return pairs, spread.select("id", F.col("main").alias("group"), (F.col("far") > 0).alias("far"))
 
