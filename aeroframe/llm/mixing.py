@@ -158,6 +158,24 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, b
             .drop("_s", "_of", "_block", "_at", "_key", "_bucket", "_nth", "_start", "_limit"))
 
 
+def taken_words(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS,
+                shard_words: int = SHARD_WORDS, seed: int = 7) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every row: its words inside the blocks that the shards draw.
+
+    A copy's stretch of its source's line may lie in several blocks; it counts as far as some shard draws them.
+    """
+    laid = lay_out(rows, cap, weights)
+    blocks, length = shard_of_blocks(laid, block_words, shard_words, seed)
+    last = F.col("_at") + F.col("words") - 1
+    crossed = F.sequence(F.floor(F.col("_at") / length).cast("long"), F.floor(last / length).cast("long"))
+    pieces = copies(laid, cap).withColumn("_block", F.explode_outer(F.when(F.col("copy").isNotNull(), crossed)))
+    met = pieces.join(blocks.withColumnRenamed("_block", "_of"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_of")), "left")
+    begin, end = F.col("_of") * length, (F.col("_of") + 1) * length
+    inside = F.when(F.col("_of").isNotNull(), F.least(last + 1, end) - F.greatest("_at", begin)).otherwise(0)
+    one = ["source", "_bucket", "_nth", "doc_id", "size", "source_size", "target"]
+    return met.groupBy(*one).agg(F.sum(inside).alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word, blanks between words as they are."""
     pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")

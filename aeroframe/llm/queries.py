@@ -129,8 +129,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that the mix takes."""
     documents = common.table(spark, folder, "documents", "doc_id", "source", "text")
     rows = common.materialise(documents.select("doc_id", "source", mixing.word_count("text").alias("size")), "mixing-sizes")
-    mixed = mixing.mix(rows)
-    taken = mixed.groupBy("_row", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
+    taken = mixing.taken_words(rows)
     return taken.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
