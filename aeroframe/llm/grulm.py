@@ -41,10 +41,10 @@ CLASS_SIZE = 63
 RARE_CLASSES = 32
 HIDDEN, WINDOW = 16, 32
 RATES = (0.02, 0.01, 0.003)     # a round each; the training texts are dealt to the rounds
-LEAST_STEPS = 200               # of a task in a round
+LEAST_STEPS = 100               # of a task in a round
 LANES = 16, 512                 # texts a task trains on in step, by its tokens
 SCORED = 1_024                  # texts scored in step
-LANE_TOKENS = 8_192
+LANE_TOKENS = 4_096
 _PARTS = 16                     # pieces in which parameters meet
 _AVERAGED = 64                  # tasks whose parameters meet at once
 BLOCK_TOKENS, BLOCK_TEXTS = 3_000_000, 8_000
@@ -312,6 +312,7 @@ class Network:
         order = np.argsort(read.astype(np.int16), kind="stable")
         met, first = np.unique(read[order], return_index=True)
         d["w_in"][met] += np.add.reduceat(dx.reshape(-1, 3 * n)[order], first)     # nothing flows back to -1
+        self.met = met
         return d, h
 
 
@@ -325,13 +326,16 @@ class _Adam:
         self.t += 1
         first, second = 1 / (1 - 0.9 ** self.t), 1 / (1 - 0.99 ** self.t)
         for k, g in grads.items():
-            g = np.clip(g, -1, 1)
-            m, s = self.m[k], self.s[k]
+            # of the symbols' own parameters only those of symbols in the window move
+            rows = self.network.met if k == "w_in" else slice(None)
+            g = np.clip(g[rows], -1, 1)
+            m, s = self.m[k][rows], self.s[k][rows]
             m *= 0.9
             m += 0.1 * g
             s *= 0.99
             s += 0.01 * g * g
-            getattr(self.network, k)[...] -= ((rate * first) * m / (np.sqrt(second * s) + 1e-6)).astype(np.float32)
+            self.m[k][rows], self.s[k][rows] = m, s
+            getattr(self.network, k)[rows] -= ((rate * first) * m / (np.sqrt(second * s) + 1e-6)).astype(np.float32)
         net = self.network
         # states are below 1, so no logit exceeds 64 + 20
         for a, low, high in ((net.out_c, -64 / net.hidden, 64 / net.hidden), (net.out_w, -64 / net.hidden, 64 / net.hidden), (net.bias_c, -60, 20), (net.bias_w, -60, 20)):
