@@ -8,6 +8,7 @@ often, then with some texts of the main component around it. What then shares a
 is a text that is alike without reaching the threshold. In a large group such texts are described by their
 differences from a common centre: two of them can only be linked if they share a stated number of differences, so
 each lists its first differences, as many as prefix filtering needs, and only texts that meet in one are compared.
+Before whole sets are read, 1,024 parity bits of each set bound from below in how many shingles two texts differ.
 A family of m texts needs about m comparisons, not m * m, and every candidate pair ends compared, connected or
 excluded by that bound. A pair at similarity 0.8 misses all 32 bands of 4 with probability 5e-8.
 
@@ -32,6 +33,7 @@ BANDS, ROWS = 32, 4
 PERCENT = 80
 CHANCES = 2
 DIRECT_TEXTS = 64                # in larger groups texts are compared by their differences from a centre
+PARITY_WORDS = 16                # 64-bit numbers of parity bits per text
 _A, _B, _SCATTER = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -149,6 +151,35 @@ def _fits(a: str, b: str, percent: int) -> F.Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _parities(shingles_: str) -> F.Column:
+    """struct<m0 long, ...>: for every bit whether an odd number of the set's shingles falls on it."""
+    names = [f"m{k}" for k in range(PARITY_WORDS)]
+
+    @F.arrow_udf(f"struct<{', '.join(f'{m} long' for m in names)}>")
+    def parities(held: pa.Array) -> pa.Array:
+        bits = 64 * PARITY_WORDS
+        odd = np.zeros((len(held), bits), np.uint8)
+        for row, x in zip(odd, held.to_pylist()):
+            place = np.frombuffer(x, np.uint64) % np.uint64(bits)
+            row[:] = np.bincount(place.astype(np.int64), minlength=bits) & 1
+        words = np.packbits(odd, axis=1).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(w)) for w in words.T], names=names)
+
+    return parities.asNondeterministic()(shingles_)
+
+
+def _may_link(x: str, y: str, nx: str, ny: str, percent: int) -> F.Column:
+    """False only for sets that cannot be linked, by their parities x, y and sizes nx, ny.
+
+    A bit that is odd in one set only stands for a shingle that only one of them has, so d such bits mean at
+    least d differences; a link allows (100 - percent) / (100 + percent) of both sizes together.
+    """
+    differing = F.lit(0)
+    for k in range(PARITY_WORDS):
+        differing = differing + F.bit_count(F.col(f"{x}.m{k}").bitwiseXOR(F.col(f"{y}.m{k}")))
+    return (100 + percent) * differing <= (100 - percent) * (F.col(nx) + F.col(ny))
+
+
 def _centres(texts: DataFrame, sets: DataFrame) -> DataFrame:
     """(main, core): for every large group of (id, main) the sorted shingles that most of about 256 members have.
 
@@ -197,7 +228,7 @@ def _differences(own: str, core: str, percent: int) -> F.Column:
 
 
 def _around_centres(texts: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to compare within the large groups of (id, component, main), and (id, group, far) of their texts.
+    """Pairs to compare within the large groups of (id, component, main, n, parity), and (id, group, far) of their texts.
 
     A text lacks a shingles of its group's centre of size l and adds b. If two texts share o of these
     differences, their common and united sizes are l - a - a' + o and l + b + b' - o. With
@@ -206,14 +237,15 @@ def _around_centres(texts: DataFrame, sets: DataFrame, percent: int) -> tuple[Da
     first d - o + 1 is shared. Pairs of two texts with far <= 0 are not covered.
     """
     known = texts.join(_centres(texts, sets), "main").join(sets, "id").withColumn("d", _differences("shingles", "core", percent))
-    spread = common.materialise(known.select("id", "component", "main", "d.*"), "differences")
-    each = spread.select("id", "component", "main", "listed", "asked", F.posexplode("first").alias("place", "x"))
+    spread = common.materialise(known.select("id", "component", "main", "n", "parity", "d.*"), "differences")
+    each = spread.select("id", "component", "main", "n", "parity", "listed", "asked", F.posexplode("first").alias("place", "x"))
     met = each.groupBy("main", "x").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
     # differences of one component only lead nowhere
     placed = common.materialise(each.join(met.select("main", "x"), ["main", "x"]), "first-differences")
-    asks = placed.where("place < asked").select("main", "x", F.col("id").alias("i"), F.col("component").alias("ci"))
-    lists = placed.where("place < listed").select("main", "x", F.col("id").alias("j"), F.col("component").alias("cj"))
-    pairs = asks.join(lists, ["main", "x"]).where("ci <> cj").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    asks = placed.where("place < asked").select("main", "x", F.col("id").alias("i"), F.col("component").alias("ci"), F.col("n").alias("ni"), F.col("parity").alias("pi"))
+    lists = placed.where("place < listed").select("main", "x", F.col("id").alias("j"), F.col("component").alias("cj"), F.col("n").alias("nj"), F.col("parity").alias("pj"))
+    may = (F.col("ci") != F.col("cj")) & _may_link("pi", "pj", "ni", "nj", percent)
+    pairs = asks.join(lists, ["main", "x"]).where(may).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
     return pairs, spread.select("id", F.col("main").alias("group"), (F.col("far") > 0).alias("far"))
 
 
@@ -262,12 +294,14 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = PERCENT)
     meets = open_.select("id", "component", "main").distinct()
     family = meets.groupBy("main").agg(F.count(F.lit(1)).alias("k"))
     largest = meets.join(family, "main").groupBy("id", "component").agg(F.max(F.struct("k", "main")).alias("m"))
-    texts = common.materialise(largest.select("id", "component", "m.main"), "groups")
+    texts = largest.select("id", "component", "m.main").join(sets, "id")
+    sized = (F.length("shingles") / 8).cast("long").alias("n")
+    texts = common.materialise(texts.select("id", "component", "main", sized, _parities("shingles").alias("parity")), "groups")
     alike, grouped = _around_centres(texts, sets, percent)
-    each = open_.join(grouped, "id", "left")
-    left = each.where("component <> main").select("key", "band", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("bands").alias("bx"), F.col("group").alias("gx"), F.col("far").alias("fx"))
-    right = each.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "main", F.col("bands").alias("by"), F.col("group").alias("gy"), F.col("far").alias("fy"))
-    new = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & _fits("nx", "ny", percent)
+    each = open_.join(texts.select("id", "parity"), "id").join(grouped, "id", "left")
+    left = each.where("component <> main").select("key", "band", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("bands").alias("bx"), F.col("parity").alias("px"), F.col("group").alias("gx"), F.col("far").alias("fx"))
+    right = each.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "main", F.col("bands").alias("by"), F.col("parity").alias("py"), F.col("group").alias("gy"), F.col("far").alias("fy"))
+    new = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & _fits("nx", "ny", percent) & _may_link("px", "py", "nx", "ny", percent)
     covered = F.coalesce((F.col("gx") == F.col("gy")) & (F.col("fx") | F.col("fy")), F.lit(False))
     seen = F.arrays_overlap(F.slice("bx", F.lit(1), F.col("band")), F.slice("by", F.lit(1), F.col("band")))
     rest = left.join(right, "key").where(new & ~covered & ~seen).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+
 from aeroframe.llm import minhash
 
 
@@ -93,3 +95,33 @@ def test_an_id_on_several_texts_keeps_all_their_links(spark):
     rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*a[:98], "z"])), (8, " ".join([*b[:98], "y"])), (9, "other words here"), (9, "other words here")]
     got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=1).collect())
     assert got == Counter({(5, 5, True): 2, (7, 5, False): 1, (8, 5, False): 1, (9, 9, True): 2})
+
+
+def test_parities_exclude_no_pair_at_the_threshold(spark):
+    dice = np.random.default_rng(11)
+    rows = []
+    for n in (1, 4, 9, 45, 180, 900, 9_000, 90_000):
+        for spare in range(-2, 3):                              # common of united is 0.8, or as near as sizes allow
+            common_ = dice.integers(0, 2 ** 63, max(n * 4 // 5 + spare, 0))
+            own = dice.integers(0, 2 ** 63, max(n - len(common_), 0))
+            cut = dice.integers(0, len(own) + 1)
+            a, b = (np.unique(np.concatenate((common_, x))) for x in (own[:cut], own[cut:]))
+            rows.append((a.tobytes(), b.tobytes(), len(a), len(b)))
+    pairs = spark.createDataFrame(rows, "a binary, b binary, na long, nb long")
+    told = pairs.withColumns({"pa": minhash._parities("a"), "pb": minhash._parities("b")})
+    for r in told.select("a", "b", minhash._may_link("pa", "pb", "na", "nb", 80).alias("may")).collect():
+        both = len(np.intersect1d(np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64)))
+        linked = 100 * both >= 80 * ((len(r["a"]) + len(r["b"])) // 8 - both)
+        assert r["may"] or not linked
+
+
+def test_texts_that_share_frequent_edits_are_told_apart_by_parities(spark, monkeypatch):
+    dice = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    # edits from a short list: most texts meet in some of them, few are alike
+    texts = [edited(dice, base, 0.2, [f"x{i}" for i in range(60)]) for _ in range(1_000)]
+    compared = counting(monkeypatch)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), size=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(brute(texts)))
+    assert sum(compared) < 60 * len(texts)
