@@ -236,7 +236,8 @@ def _around_centres(texts: DataFrame, sets: DataFrame, percent: int) -> tuple[Da
     If far > 0 then 100 o >= far as well. Prefix filtering: of d differences in any common order, one of the
     first d - o + 1 is shared. Pairs of two texts with far <= 0 are not covered.
     """
-    known = texts.join(_centres(texts, sets), "main").join(sets, "id").withColumn("d", _differences("shingles", "core", percent))
+    centres = common.materialise(_centres(texts, sets), "centres")     # apart, so that the texts of a hot group can be split
+    known = texts.join(centres, "main").join(sets, "id").withColumn("d", _differences("shingles", "core", percent))
     spread = common.materialise(known.select("id", "component", "main", "n", "parity", "d.*"), "differences")
     each = spread.select("id", "component", "main", "n", "parity", "listed", "asked", F.posexplode("first").alias("place", "x"))
     met = each.groupBy("main", "x").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
