@@ -132,6 +132,31 @@ def stream_fire_timeline(t):
     return done.table.withColumns({"total_frp": r("total_frp", 3), "n_dropped": F.lit(done.dropped).cast("long")})
 
 
+# events arrive in six runs: five stretches of the month, every fiftieth event one run late
+_ARRIVAL = "CAST(least(4, floor((day(ts) - 1) / 6)) + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS INT)"
+
+
+@query("stream_fire_timeline_closed", f"""WITH f AS (SELECT ts, value, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour_ts, {_ARRIVAL} AS run FROM events WHERE ts IS NOT NULL),
+latest AS (SELECT run, max(ts) AS latest FROM f GROUP BY run),
+marks AS (SELECT r.run, max(l.latest) - INTERVAL 2 HOUR AS mark FROM (SELECT DISTINCT run FROM f) r LEFT JOIN latest l ON l.run < r.run GROUP BY r.run),
+j AS (SELECT f.*, coalesce(hour_ts + INTERVAL 1 HOUR <= mark, FALSE) AS late FROM f JOIN marks USING (run))
+SELECT hour_ts, CAST(count(value) FILTER (NOT late) AS BIGINT) AS n_fires, {sql_r('coalesce(sum(value) FILTER (NOT late), 0)', 3)} AS total_frp,
+ CAST(count(*) FILTER (late) AS BIGINT) AS n_late, hour_ts + INTERVAL 1 HOUR <= (SELECT max(latest) FROM latest) - INTERVAL 2 HOUR AS closed
+FROM j GROUP BY hour_ts""")
+def stream_fire_timeline_closed(t):
+    arrived = t.events.where(F.col("ts").isNotNull()).withColumn("run", F.expr(_ARRIVAL))
+    shaped = arrived.select(F.col("ts").cast("timestamp").alias("detected_at"), F.col("value").alias("frp"), "run")
+    inbox, work = _folder(t, "fires-in"), _folder(t, "fires-closed")
+    for run in range(6):
+        shaped.where(F.col("run") == run).write.mode("append").parquet(inbox)
+        done = jobs.run_available_closing(jobs.read_stream(t.spark, inbox, shaped.schema), work, "2 hours")
+    late = done.late.groupBy(F.date_trunc("hour", "detected_at").alias("hour_ts")).agg(F.count(F.lit(1)).alias("n_late"))
+    # an hour that has late fires only is closed
+    return done.hours.join(late, "hour_ts", "full").select(
+        "hour_ts", F.coalesce("n_fires", F.lit(0)).cast("long").alias("n_fires"), r(F.coalesce("total_frp", F.lit(0.0)), 3).alias("total_frp"),
+        F.coalesce("n_late", F.lit(0)).cast("long").alias("n_late"), F.coalesce("closed", F.lit(True)).alias("closed"))
+
+
 @query("stream_clean", """WITH kept AS (SELECT event_id, user_id AS station_id, CAST(ts AS TIMESTAMP) AS ts, value AS pm25 FROM events WHERE event_id % 97 <> 0 OR value = 0),
 q AS (SELECT quantile_cont(pm25, 0.25) AS a, quantile_cont(pm25, 0.75) AS b FROM kept)
 SELECT event_id, station_id, ts, pm25, pm25 < a - 1.5 * (b - a) OR pm25 > b + 1.5 * (b - a) AS pm25_outlier, 'ug/m3' AS pm25_unit, CAST(0 AS BIGINT) AS n_dropped FROM kept, q""")

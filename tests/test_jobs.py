@@ -41,6 +41,66 @@ def test_timeline_has_every_hour_whatever_the_files(spark, tmp_path):
     assert done.dropped == 0
 
 
+def test_closed_hours_and_late_fires(spark, tmp_path):
+    """Six batches: every fire is counted or listed as late, closed hours are those of Spark's appending aggregation."""
+    folder, work = str(tmp_path / "in"), str(tmp_path / "work")
+    batches = [
+        [("00:10", 1.0), ("01:10", 2.0), ("01:50", None)], [("03:30", 4.0), ("01:20", 8.0)], [("01:30", 16.0), ("06:00", 32.0)],
+        [("03:40", 64.0), ("05:10", 128.0), (None, 9.0)], [("09:10", 256.0), ("06:59", 512.0)], [("06:30", 1024.0), ("08:30", 2048.0)]]
+    stream, latest, want, late = None, "", {}, []
+    for i, rows in enumerate(batches):
+        made = [f"(timestamp'2024-01-01 {h}:00', {'null' if p is None else p})" if h else f"(null, {p})" for h, p in rows]
+        spark.sql(f"select cast(detected_at as timestamp) as detected_at, cast(frp as double) as frp from values {', '.join(made)} t(detected_at, frp)"
+                  ).coalesce(1).write.mode("append").parquet(folder)
+        stream = stream or jobs.read_stream(spark, folder, spark.read.parquet(folder).schema)
+        done = jobs.run_available_closing(stream, work, "1 hour")
+        mark = f"{int(latest[:2]) - 1:02d}{latest[2:]}" if latest else ""
+        for h, p in rows:
+            if h and mark and f"{int(h[:2]) + 1:02d}:00" <= mark:
+                late.append((i, h, p))
+            elif h:
+                n, total = want.get(int(h[:2]), (0, 0.0))
+                want[int(h[:2])] = (n + (p is not None), total + (p or 0.0))
+        latest = max([latest, *[h for h, _ in rows if h]])
+    hours = done.hours.collect()
+    assert {r.hour_ts.hour: (r.n_fires, r.total_frp) for r in hours} == want
+    assert {(r.batch, r.detected_at.strftime("%H:%M"), r.frp) for r in done.late.collect()} == set(late) and len(late) >= 3
+    assert {r.hour_ts.hour for r in hours if r.closed} == {h for h in want if h + 1 <= int(latest[:2]) - 1}
+
+    # the appending aggregation over the same batches
+    again, out = str(tmp_path / "again"), str(tmp_path / "out")
+    for rows in batches:
+        made = [f"(timestamp'2024-01-01 {h}:00', {'null' if p is None else p})" if h else f"(null, {p})" for h, p in rows]
+        spark.sql(f"select cast(detected_at as timestamp) as detected_at, cast(frp as double) as frp from values {', '.join(made)} t(detected_at, frp)"
+                  ).coalesce(1).write.mode("append").parquet(again)
+        marked = jobs.read_stream(spark, again, stream.schema).withWatermark("detected_at", "1 hour")
+        appended = jobs.run_available(jobs.fire_timeline_stream(marked), out)
+    closed = {(r.hour_ts, r.n_fires, r.total_frp) for r in hours if r.closed}
+    assert {(r.hour_ts, r.n_fires, r.total_frp) for r in appended.table.collect()} == closed
+
+
+def test_batch_tried_again_counts_once(spark, tmp_path):
+    folder, work = str(tmp_path / "in"), str(tmp_path / "work")
+    row = "select timestamp'2024-01-01 {}:10:00' as detected_at, {}D as frp"
+    spark.sql(row.format("05", "1.0")).coalesce(1).write.parquet(folder)
+    stream = jobs.read_stream(spark, folder, spark.read.parquet(folder).schema)
+    jobs.run_available_closing(stream, work, "1 hour")
+    spark.sql(row.format("09", "2.0")).coalesce(1).write.mode("append").parquet(folder)
+    jobs.run_available_closing(stream, work, "1 hour")
+    for commit in (tmp_path / "work" / "state" / "commits").glob("*1*"):      # as if the run ended before the last commit
+        commit.unlink()
+    done = jobs.run_available_closing(stream, work, "1 hour")
+    assert {(r.hour_ts.hour, r.n_fires, r.total_frp) for r in done.hours.collect()} == {(5, 1, 1.0), (9, 1, 2.0)}
+    assert done.late.count() == 0
+
+
+def test_timeline_of_an_empty_stream(spark, tmp_path):
+    spark.range(0).select(F.current_timestamp().alias("detected_at"), F.lit(1.0).alias("frp")).write.parquet(str(tmp_path / "in"))
+    stream = jobs.read_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    done = jobs.run_available_closing(stream, str(tmp_path / "work"), "1 hour")
+    assert done.hours.count() == 0 and done.late.count() == 0
+
+
 def test_forest_round_trip(spark, tmp_path):
     from pyspark.ml import PipelineModel
 
