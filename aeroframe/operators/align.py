@@ -16,6 +16,9 @@ def nearest_times(moments: DataFrame, grid: DataFrame, grid_ts: str, unit: str =
     a chunk and the first one after it come from a summary with one row per chunk. So the spacing of the
     grid does not matter, and a task never holds more than the distinct times of one chunk. A moment
     halfway between two grid times goes to the earlier one.
+
+    What follows a row is read in falling order: Spark carries a frame that begins at the first row from
+    row to row, but walks one that ends at the last row anew for each.
     """
     asked = moments.where(F.col("moment").isNotNull()).select("moment", F.lit(False).alias("_grid"))
     times = grid.where(F.col(grid_ts).isNotNull()).select(F.col(grid_ts).cast("timestamp").alias("moment"), F.lit(True).alias("_grid"))
@@ -24,17 +27,17 @@ def nearest_times(moments: DataFrame, grid: DataFrame, grid_ts: str, unit: str =
     at = F.when(F.col("_grid"), F.col("moment"))
 
     # one row per chunk of time that holds anything: a century of hours is 876,600 rows
-    over_chunks = Window.partitionBy(F.lit(0)).orderBy("_chunk")
+    earlier, later = (Window.partitionBy(F.lit(0)).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_chunk"), F.desc("_chunk")))
     chunks = both.groupBy("_chunk").agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
     chunks = chunks.select(
         F.col("_chunk").alias("_c"),
-        F.last("_last", ignorenulls=True).over(over_chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", ignorenulls=True).over(over_chunks.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+        F.last("_last", ignorenulls=True).over(earlier).alias("_before"),
+        F.last("_first", ignorenulls=True).over(later).alias("_after"))
 
-    inside = Window.partitionBy("_chunk").orderBy("moment")
+    upto, down_to = (Window.partitionBy("_chunk").orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("moment"), F.desc("moment")))
     placed = both.withColumns({
-        "_prev": F.last(at, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_next": F.first(at, ignorenulls=True).over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
+        "_prev": F.last(at, ignorenulls=True).over(upto),
+        "_next": F.last(at, ignorenulls=True).over(down_to)})
     placed = placed.where(~F.col("_only")).join(chunks, F.col("_chunk") == F.col("_c"), "left")
     prev, after = F.coalesce("_prev", "_before"), F.coalesce("_next", "_after")
     nearer = F.unix_micros("moment") * 2 <= F.unix_micros(prev) + F.unix_micros(after)

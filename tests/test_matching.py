@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aeroframe.operators import align, spatial
+from aeroframe.plans import flows
 
 R = 6371.0088
 
@@ -80,3 +81,14 @@ def test_reference_tolerance_is_inclusive(spark):
     obs = spark.sql("select * from values (1, timestamp'2024-01-01 01:00:00'), (2, timestamp'2024-01-01 01:00:01') t(id, ts)")
     ref = spark.sql("select timestamp'2024-01-01 00:00:00' ref_ts")
     assert [x.id for x in align.match_reference_times(obs, ref).collect()] == [1]
+
+
+def test_no_frame_that_is_walked_anew_for_each_row(spark):
+    obs = spark.sql("select * from values (1, timestamp'2024-01-01 01:00:00', 10.0D, 70.0D), (2, timestamp'2024-01-02 03:00:01', 11.0D, 71.0D) t(ordinal, ts, latitude, longitude)")
+    grid = spark.sql("select 1 as ordinal, timestamp'2024-01-01 00:00:00' as timestamp, 10.0D as latitude, 70.5D as longitude, 1.0D as aod")
+    made = [align.asof_nearest_time(obs, grid, grid_ts="timestamp"), align.match_reference_times(obs, grid, reference_ts="timestamp"),
+            flows.attach_grid(obs, grid, ["aod"], "satellite")]
+    for df in made:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    assert {x.ordinal: x.aod for x in made[2].collect()} == {1: 1.0, 2: 1.0}
