@@ -175,7 +175,8 @@ def compare_models(train: DataFrame, validation: DataFrame, numeric: Sequence[st
     prep = fit_preprocessing(train, numeric)
 
     def ready(df: DataFrame) -> DataFrame:
-        return prep.transform(as_doubles(df, numeric)).select("features", F.col(target).cast("double").alias("label"))
+        return prep.transform(as_doubles(spread(df.select(*numeric, target)), numeric)).select(
+            "features", F.col(target).cast("double").alias("label"))
 
     rows = []
     with held(ready(train)) as fit_on, held(ready(validation)) as judge_on:

@@ -31,3 +31,5 @@ def test_folds_and_comparison_fit_on_all_cores(spark):
     seen.clear()
     got = ml.cross_validate(df, ["a", "b"], "y", "id", 2, {"m": Watched()}).collect()
     assert len(got) == 2 and seen == [cores, cores]
+    assert [r["error"] for r in ml.compare_models(df, df, ["a", "b"], "y", {"m": Watched()}).collect()] == [None]
+    assert seen == [cores] * 3
