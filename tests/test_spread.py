@@ -33,3 +33,19 @@ def test_folds_and_comparison_fit_on_all_cores(spark):
     assert len(got) == 2 and seen == [cores, cores]
     assert [r["error"] for r in ml.compare_models(df, df, ["a", "b"], "y", {"m": Watched()}).collect()] == [None]
     assert seen == [cores] * 3
+
+
+def test_forest_is_fitted_and_scored_on_all_cores(spark, monkeypatch):
+    cores, df = spark.sparkContext.defaultParallelism, one_part(spark)
+    parts = []
+    real = ml.held
+
+    def watched(frame):
+        parts.append(frame.rdd.getNumPartitions())
+        return real(frame)
+
+    monkeypatch.setattr(ml, "held", watched)
+    model = ml.train_forest(df, ["a", "b"], "y", n_trees=2, depth=3)
+    scored = ml.score(model, df, ["a", "b"])
+    assert parts == [cores]
+    assert scored.columns == ["id", "a", "b", "y", "predicted"] and scored.count() == 400
