@@ -3,6 +3,8 @@
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from aeroframe.catalog import tables
+from aeroframe.catalog.inputs import Inputs
 from aeroframe.operators import ml
 
 
@@ -48,4 +50,32 @@ def test_forest_is_fitted_and_scored_on_all_cores(spark, monkeypatch):
     model = ml.train_forest(df, ["a", "b"], "y", n_trees=2, depth=3)
     scored = ml.score(model, df, ["a", "b"])
     assert parts == [cores]
+    assert scored.rdd.getNumPartitions() > cores
     assert scored.columns == ["id", "a", "b", "y", "predicted"] and scored.count() == 400
+
+
+def test_saved_model_is_compared_on_one_scoring(spark, tmp_path, monkeypatch):
+    o = F.col("id")
+    spark.range(1, 61).select(
+        o.alias("o_orderkey"), (o % 9).alias("o_custkey"), F.lit("F").alias("o_orderstatus"), (o * 1000.0).alias("o_totalprice"),
+        F.timestamp_seconds(o * 86400).alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    small = ml.train_forest
+    monkeypatch.setattr(ml, "train_forest", lambda *a: small(*a, n_trees=2, depth=3))
+    scorings = []
+    real = ml.score
+
+    def counted(model, df, numeric):
+        calls = spark.sparkContext.accumulator(0)
+        scorings.append(calls)
+
+        @F.udf("long")
+        def passed(x):
+            calls.add(1)
+            return x
+
+        return real(model, df.withColumn("ordinal", passed("ordinal")), numeric)
+
+    monkeypatch.setattr(ml, "score", counted)
+    rows = tables.sink_model(Inputs(spark, str(tmp_path))).collect()
+    assert sorted(r["ordinal"] for r in rows) == list(range(43, 61)) and all(r["same_prediction"] for r in rows)
+    assert scorings[0].value == 18
