@@ -10,6 +10,7 @@ from aeroframe import values as V
 from aeroframe.functions import aqi as ax, time as tm, weather
 from aeroframe.operators import align, clean, columns as cols, dedup, fill, filters, ml, profile, quality, scoring
 from aeroframe.operators import spatial, split, stations as reg
+from aeroframe.session import cut_lineage
 
 SOURCE_COLUMNS = {"cpcb": ("station", "last_update"), "openaq": ("location", "utc_time")}   # fixed values
 
@@ -148,13 +149,16 @@ def feature_selection(df: DataFrame, features: Sequence[str], target: str, impor
 
 def train_and_score(df: DataFrame, numeric: Sequence[str], target: str, ts: str, ordinal: str,
                     n_trees: int = 100, depth: int = 12) -> tuple[object, DataFrame, DataFrame]:
-    """Range check, chronological split, fit on train, score on test: (model, metrics, scored rows)."""
+    """Range check, chronological split, fit on train, score on test: (model, metrics, scored rows).
+
+    Test rows are scored once and kept, since metrics and callers read them several times.
+    """
     failed = quality.feature_range_check(df).where("status = 'FAILED'").limit(1).count()
     if failed:
         raise ValueError("feature check failed: a registered column holds values of the wrong type")
     labelled = split.holdout_split(df.where(F.col(target).isNotNull()), ts, ordinal)
     model = ml.train_forest(labelled.where("split = 'train'"), numeric, target, n_trees=n_trees, depth=depth)
-    scored = ml.score(model, labelled.where("split = 'test'"), numeric)
+    scored = cut_lineage(ml.score(model, labelled.where("split = 'test'"), numeric))
     return model, scoring.regression_metrics(scored, actual=target), scored
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from aeroframe.catalog import tables
 from aeroframe.catalog.inputs import Inputs
 from aeroframe.operators import ml
+from aeroframe.plans import flows
 
 
 def one_part(spark, n=400):
@@ -79,3 +80,11 @@ def test_saved_model_is_compared_on_one_scoring(spark, tmp_path, monkeypatch):
     rows = tables.sink_model(Inputs(spark, str(tmp_path))).collect()
     assert sorted(r["ordinal"] for r in rows) == list(range(43, 61)) and all(r["same_prediction"] for r in rows)
     assert scorings[0].value == 18
+
+
+def test_flow_keeps_the_rows_it_scored(spark):
+    df = one_part(spark).select(F.col("id").alias("ordinal"), F.timestamp_seconds(F.col("id") * 3600).alias("ts"),
+                                (F.col("a") + 280).alias("temperature"), F.col("y").alias("aqi"))
+    _, metrics, scored = flows.train_and_score(df, ["temperature"], "aqi", "ts", "ordinal", n_trees=2, depth=3)
+    assert "UDF" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert metrics.first()["n"] == scored.count() == 120
