@@ -92,3 +92,13 @@ def test_no_frame_that_is_walked_anew_for_each_row(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
     assert {x.ordinal: x.aod for x in made[2].collect()} == {1: 1.0, 2: 1.0}
+
+
+def test_integration_has_no_frame_that_is_walked_anew_for_each_row(spark):
+    obs = spark.sql("select * from values (1L, timestamp'2024-01-01 01:00:00', 'a', 5.0D), (2L, timestamp'2024-01-02 03:00:01', 'b', 6.0D), (3L, timestamp'2024-01-02 04:00:00', 'c', 7.0D) t(ordinal, ts, station_name, pm25)")
+    registry = spark.sql("select * from values ('1', 'a', 'x', 'y', 10.0D, 70.0D), ('2', 'b', 'x', 'y', 11.0D, 71.0D) t(station_id, station_name, city, state, latitude, longitude)")
+    grid = spark.sql("select 1L as ordinal, timestamp'2024-01-01 00:00:00' as timestamp, 10.0D as latitude, 70.5D as longitude, 1.0D as aod, 280.0D as temperature")
+    made = flows.integrate(obs, registry, grid.drop("temperature"), grid.drop("aod"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    assert {x.ordinal: (x.aod, x.temperature) for x in made.collect()} == {1: (1.0, 280.0), 2: (1.0, 280.0), 3: (None, None)}
