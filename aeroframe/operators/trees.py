@@ -19,7 +19,8 @@ from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK_ROWS = 1 << 17
-PART_ROWS = 1 << 21              # rows that a task of a forest holds at once, about 20 bytes each
+PART_ROWS = 1 << 22              # rows that a task holds at once, about 20 bytes each; every part sends sums of all nodes
+ALONE_ROWS = 1 << 21             # rows whose boosted trees are grown inside one task
 CHUNK_NODES = 64                 # nodes whose sums travel together
 REBASE = 5                       # boosted trees that a task walks before predictions are stored anew
 # copies of a row in a bootstrap sample by a random number of 16 bits: Poisson with mean 1
@@ -312,7 +313,7 @@ def predicted(codes: np.ndarray, before: np.ndarray, walked: Sequence[tuple[Tree
 def grow_boosted(data: Binned, steps: int, depth: int, width: int, leaf: int, rate: float, seed: int) -> list[Tree]:
     """Each tree is fitted to what its predecessors leave, twice the residuals as the gradient has it (actions).
 
-    Rows that one task can hold are boosted there; a pass over so few takes less time than starting it.
+    Few rows are boosted inside one task; a pass over so few takes less time than starting it.
     """
     context, bins, d = data.frame.sparkSession.sparkContext, data.bins, len(data.cuts)
     cores, parts = context.defaultParallelism, -(-data.rows // PART_ROWS)
@@ -332,7 +333,7 @@ def grow_boosted(data: Binned, steps: int, depth: int, width: int, leaf: int, ra
 
         yield boosted(*options, lambda ask, first: summed(blocks, ask, first), settle)
 
-    if parts == 1:
+    if data.rows <= ALONE_ROWS:
         return data.blocks(1).mapPartitions(alone).collect()[0]
     # as many parts for every core
     first_state = data.blocks(cores * -(-parts // cores)).map(lambda b: (*b, np.zeros(len(b[1])))).persist(StorageLevel.MEMORY_AND_DISK)

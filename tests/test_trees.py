@@ -42,6 +42,7 @@ def test_boosting_in_parts_is_boosting_in_one_part(frame, monkeypatch):
     est = regressors.Boosted(maxIter=12, maxDepth=3, minInstancesPerNode=3, seed=5)
     whole = est.fit(frame)
     monkeypatch.setattr(trees, "PART_ROWS", 700)
+    monkeypatch.setattr(trees, "ALONE_ROWS", 700)
     parts = est.fit(frame)
     assert whole.treeWeights == parts.treeWeights == [1.0] + [0.1] * 11
     assert np.allclose(predictions(whole, frame), predictions(parts, frame), atol=1e-6)
